@@ -20,11 +20,11 @@ DATED = (
     r"|(?:19|20)\d\d年\d{1,2}月\d{1,2}日"
 )
 STATES = (
-    r"final|finale|final version|latest|newest|draft|wip|entwurf|endfassung|endgültig|endversion|aktuell|neueste"
+    r"final version|final|finale|latest|newest|draft|wip|entwurf|endfassung|endgültig|endversion|aktuell|neueste"
     r"|brouillon|ébauche|définitif|définitive|version finale|dernière version|rascunho|versão final"
     r"|черновик|копия|финал|итог"
 )
-COPIES = r"copy ?\d*|copy of|kopie ?\d*|kopie von|copie ?\d*|copie de|duplicate|duplikat|cópia ?\d*|cópia de"
+COPIES = r"copy of|copy ?\d*|kopie von|kopie ?\d*|copie de|copie ?\d*|duplicate|duplikat|cópia de|cópia ?\d*"
 HAN = r"副本 ?\d*|复制 ?\d*|终稿|定稿|草稿|初稿|草案|修订版?|修改稿|最终版?|最新版?|第 ?\d+ ?版|版本 ?\d+"
 MARKER = f"(?:{NUMBERED}|{DATED}|{STATES}|{COPIES})"
 
