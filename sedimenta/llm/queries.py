@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.frontmatter import body
-from sedimenta.llm import bpe, packing, survivors
+from sedimenta.llm import bpe, neardup, packing, survivors
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,26 @@ def p3_survivors(spark: SparkSession, directory: str) -> DataFrame:
     return survivors.pivot_back(winners, "group_key", "value", names).withColumnRenamed("group_key", "file_key")
 
 
+# Problem 5 ---------------------------------------------------------------------------------------------------------
+
+#: TESTDATA.md: three successive words, half of the sequences that either text has.
+WIDTH, THRESHOLD = 3, 0.5
+
+
+def _bodies(spark: SparkSession, directory: str) -> DataFrame:
+    mirror = table(spark, directory, "mirror_documents").select(
+        F.lit("mirror_documents").alias("src"), F.col("file_id").alias("id"), body(F.col("content")).alias("text")
+    )
+    notes = table(spark, directory, "notes").select(F.lit("notes").alias("src"), "id", F.col("content").alias("text"))
+    return mirror.unionByName(notes)
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """All similar pairs of records of one table, copies included."""
+    pairs, members = neardup.similar(_bodies(spark, directory), "src", WIDTH, THRESHOLD)
+    return neardup.expand(pairs, members, "src")
+
+
 # Problem 6 ---------------------------------------------------------------------------------------------------------
 
 
