@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions as configured."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark drops the shuffle files that nothing reads any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
