@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.frontmatter import body
-from sedimenta.llm import bpe, neardup, packing, survivors
+from sedimenta.llm import bpe, forest, neardup, packing, survivors
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,12 +61,34 @@ def p3_survivors(spark: SparkSession, directory: str) -> DataFrame:
     return survivors.pivot_back(winners, "group_key", "value", names).withColumnRenamed("group_key", "file_key")
 
 
-# Problem 5 ---------------------------------------------------------------------------------------------------------
+# Problem 4 ---------------------------------------------------------------------------------------------------------
 
 #: TESTDATA.md: three successive words, half of the sequences that either text has.
 WIDTH, THRESHOLD = 3, 0.5
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Notes that repeat a note accepted before, batch after batch.
+
+    A null title counts as empty. Notes whose ``content`` is null or empty are accepted and not compared.
+    """
+    notes = table(spark, directory, "notes").filter("content IS NOT NULL AND content != ''")
+    joined = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.col("content"))
+    texts = notes.select("id", F.coalesce("batch_no", F.lit(1 << 30)).alias("arrival"), joined.alias("text"))
+    counts = [(r.arrival, r.c) for r in texts.groupBy("arrival").agg(F.count("*").alias("c")).collect()]
+    index = forest.Forest(spark, WIDTH, THRESHOLD)
+    found = None
+    for first, last in forest.rounds(counts):
+        batch = texts.filter(F.col("arrival").between(first, last))
+        refused = index.accept(batch, texts.select("id", "text"))
+        found = refused if found is None else found.unionByName(refused)
+    if found is None:
+        found = texts.select("id")
+    return found.select(F.col("id").alias("note_id"))
+
+
+# Problem 5 ---------------------------------------------------------------------------------------------------------
+
 def _bodies(spark: SparkSession, directory: str) -> DataFrame:
     mirror = table(spark, directory, "mirror_documents").select(
         F.lit("mirror_documents").alias("src"), F.col("file_id").alias("id"), body(F.col("content")).alias("text")
