@@ -27,6 +27,9 @@ from sedimenta.llm import shingles as S
 from sedimenta.llm.sigtree import SignatureTree, alike
 from sedimenta.session import cut, parallelism
 
+#: The columns of a sketch.
+WORDS = [f"s{w}" for w in range(S.WORDS)]
+SKETCH = ", ".join(f"{w} long" for w in WORDS)
 #: Texts signed together.
 TOGETHER = 256
 #: The forest's recall for a pair right at the threshold; prefixes are widened until it is reached.
@@ -49,7 +52,7 @@ def depth_for(threshold: float, trees: int = S.TREES, levels: int = S.LEVELS, re
 
 
 def sign(df: DataFrame, keep: list[str], text: Column, width: int) -> DataFrame:
-    """``keep`` columns, ``n``, ``same`` (binary), ``s0 s1 s2``, ``labels``. Texts without a shingle, null ones too, have no row."""
+    """``keep`` columns, ``n``, ``same`` (binary), ``s0 s1 ...``, ``labels``. Texts without a shingle, null ones too, have no row."""
     source = df.select(*keep, text.alias("text_")).filter("text_ IS NOT NULL")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
 
@@ -68,12 +71,12 @@ def sign(df: DataFrame, keep: list[str], text: Column, width: int) -> DataFrame:
                 columns = {name: rows.column(name).combine_chunks() for name in keep}
                 columns["n"] = pa.array([len(s) for s in sets], pa.int32())
                 columns["same"] = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-                columns |= {f"s{w}": pa.array(sketches[:, w]) for w in range(3)}
+                columns |= {f"s{w}": pa.array(sketches[:, w]) for w in range(S.WORDS)}
                 offsets = np.arange(0, labels.size + 1, S.TREES, dtype=np.int32)
                 columns["labels"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels.ravel()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return source.mapInArrow(run, f"{kept}, n int, same binary, s0 long, s1 long, s2 long, labels array<long>")
+    return source.mapInArrow(run, f"{kept}, n int, same binary, {SKETCH}, labels array<long>")
 
 
 def representatives(signed: DataFrame, group: str, order: Column) -> DataFrame:
@@ -86,7 +89,7 @@ def representatives(signed: DataFrame, group: str, order: Column) -> DataFrame:
 def _entries(signed: DataFrame, group: str, key: str, depth: int, extra: list[str]) -> DataFrame:
     """One row for each record and tree, with ``run``: the hash of group, tree and label prefix; hot runs are split."""
     prefix = F.shiftrightunsigned("label", 64 - 16 * depth)
-    rows = signed.select(group, key, "n", "s0", "s1", "s2", *extra, F.posexplode("labels").alias("tree", "label"))
+    rows = signed.select(group, key, "n", *WORDS, *extra, F.posexplode("labels").alias("tree", "label"))
     rows = rows.withColumn("run", F.xxhash64(group, "tree", prefix)).drop("tree", "label")
     sample = signed.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(ONE_IN)) == 0)
     seen = sample.select(group, F.posexplode("labels").alias("tree", "label")).select(F.xxhash64(group, "tree", prefix).alias("run"))
@@ -135,7 +138,7 @@ def candidates(signed: DataFrame, group: str, key: str, threshold: float, fresh:
     extra = [fresh] if fresh else []
     entries = _entries(signed, group, key, depth, extra)
     kind = signed.select(group).schema[0].dataType.simpleString()
-    columns = ["run", group, key, "n", "s0", "s1", "s2", "block", *extra]
+    columns = ["run", group, key, "n", *WORDS, "block", *extra]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -143,7 +146,7 @@ def candidates(signed: DataFrame, group: str, key: str, threshold: float, fresh:
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             array = lambda name: table.column(name).to_numpy()
             run, sizes, block = array("run"), array("n"), array("block")
-            sketches = np.stack([array(f"s{w}") for w in range(3)], axis=1)
+            sketches = np.stack([array(f"s{w}") for w in range(S.WORDS)], axis=1)
             a, b = _compare(run, sizes, sketches, threshold, least)
             ids = array(key)
             whole = np.ones(len(run), bool)

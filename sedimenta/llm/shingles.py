@@ -16,7 +16,8 @@ FIND = re.compile(r"[一-鿿]|[^\W_一-鿿]+").findall
 #: Word hashes that a worker remembers before it starts afresh: a bound on memory without effect on results.
 MEMORY = 500_000
 #: Comparisons of a sketch: minima of which 4 bits are kept.
-LANES = 48
+LANES = 64
+WORDS = LANES // 16
 #: Trees of a forest, and the minima (16 bits each) of one tree's label.
 TREES, LEVELS = 18, 4
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
@@ -61,7 +62,7 @@ class Shingler:
 
 
 def signatures(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tree labels (rows x TREES, 64 bits: LEVELS minima of 16 bits, first on top) and sketches (rows x 3 words)."""
+    """Tree labels (rows x TREES, 64 bits: LEVELS minima of 16 bits, first on top) and sketches (rows x WORDS)."""
     sizes = np.fromiter(map(len, shingles), np.int64, len(shingles))
     short = (np.concatenate(shingles) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -72,7 +73,7 @@ def signatures(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     labels = np.zeros((len(shingles), TREES), np.uint64)
     for level in range(LEVELS):
         labels = (labels << np.uint64(16)) | folded[level * TREES : (level + 1) * TREES].T
-    sketches = np.zeros((len(shingles), LANES // 16), np.uint64)
+    sketches = np.zeros((len(shingles), WORDS), np.uint64)
     for lane in range(LANES):
         sketches[:, lane // 16] |= (folded[lane] & np.uint64(15)) << np.uint64(4 * (lane % 16))
     return labels.view(np.int64), sketches.view(np.int64)
@@ -92,7 +93,7 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_agreeing(threshold: float, deviations: float = 3.3) -> int:
+def least_agreeing(threshold: float, deviations: float = 3.0) -> int:
     """Fewest agreeing lanes of a pair at the threshold, up to so many standard deviations below the mean."""
     p = threshold + (1 - threshold) / 16
     return max(1, int(np.floor(LANES * p - deviations * np.sqrt(LANES * p * (1 - p)))))
