@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.frontmatter import body
-from sedimenta.llm import bpe, forest, neardup, packing, survivors
+from sedimenta.llm import bpe, forest, mojibake, neardup, packing, survivors
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,21 @@ def p7_fill(spark: SparkSession, directory: str) -> DataFrame:
     return packing.fill(p7_packing(spark, directory))
 
 
+# Problem 8 ---------------------------------------------------------------------------------------------------------
+
+
+def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
+    """The garbled documents, restored as far as they can be, and the encoding that was taken for another."""
+    documents = table(spark, directory, "documents")
+    model = mojibake.lexicon(mojibake.counted(documents, F.col("text")))
+    return mojibake.restored(documents, "doc_id", "text", model)
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents whose text was decoded with another encoding than its own, wholly or in part."""
+    return p8_restored(spark, directory).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
