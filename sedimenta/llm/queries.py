@@ -8,12 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.frontmatter import body
-from sedimenta.llm import bpe, forest, mojibake, neardup, packing, survivors
+from sedimenta.llm import bpe, forest, mojibake, neardup, packing, scanned, survivors
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Problem 2 ---------------------------------------------------------------------------------------------------------
+
+
+def _scans(spark: SparkSession, directory: str) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    mirror = table(spark, directory, "mirror_documents").withColumn("body", body(F.col("content")))
+    matter = F.substring("content", F.lit(1), F.length("content") - F.length("body"))
+    counts = scanned.model(scanned.counted(mirror, F.col("body")))
+    return mirror.withColumn("first", (F.length(matter) - F.length(F.replace(matter, F.lit("\n"))) + 1).cast("int")), counts
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The noisy lines of text from scanned pages: broken words, misread characters, page furniture."""
+    mirror, counts = _scans(spark, directory)
+    return scanned.noise(mirror, "file_id", counts)
+
+
+def p2_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    """The texts from scanned pages as continuous paragraphs without noise."""
+    mirror, counts = _scans(spark, directory)
+    return scanned.repaired(mirror, "file_id", counts)
+
+
 # Problem 3 ---------------------------------------------------------------------------------------------------------
 
 
