@@ -8,12 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.frontmatter import body
-from sedimenta.llm import bpe, forest, mojibake, neardup, packing, scanned, survivors
+from sedimenta.llm import bpe, forest, mojibake, neardup, packing, scanned, survivors, textquality
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Problem 1 ---------------------------------------------------------------------------------------------------------
+
+
+def p1_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    """Text statistics of every body that is not blank, with the verdict of the rule list."""
+    rows = table(spark, directory, "common_words").groupBy("lang").agg(F.collect_list("word").alias("words")).collect()
+    mirror = table(spark, directory, "mirror_documents")
+    found = textquality.statistics(mirror, "file_id", body(F.col("content")), {r.lang: r.words for r in rows})
+    return found.withColumn("no_prose", F.expr(textquality.case_sql(textquality.RULES)))
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The records whose body is for the greater part something other than sentences."""
+    return p1_statistics(spark, directory).filter("no_prose = 1").select("file_id")
+
+
 # Problem 2 ---------------------------------------------------------------------------------------------------------
 
 
