@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.session import cut
+
 # The channels that are considered, as (wrong encoding, right encoding).
 CHANNELS = [
     ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp437", "utf-8"), ("cp850", "utf-8"), ("mac-roman", "utf-8"),
@@ -103,6 +105,7 @@ def counted(df: DataFrame, text: Column) -> DataFrame:
 
 def lexicon(counts: DataFrame, share: float = SHARE) -> dict[str, int]:
     """The words with at least ``share`` of all counts: at most 1 / share of them, whatever the size of the corpus."""
+    counts = cut(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.filter(F.col("n") >= share * total).toArrow()
     return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
@@ -341,6 +344,9 @@ class Restorer:
         """(garbled tokens, restored text, channels). A null text is the caller's; an empty one has none."""
         if text.isascii():
             return 0, text, Counter()
+        undo = self.channel.undo
+        if all(undo(t)[1] is None for t in _TOKENS(text) if not t.isascii()):
+            return 0, text, Counter()
         out, garbled, total, channels = [], 0, 0.0, Counter()
         for line in text.split("\n"):
             if line.isascii():
