@@ -43,10 +43,13 @@ PAGE = re.compile(
 HYPHEN = re.compile(r"([^\W\d_]{2,}|[^\W_]{2,})[-‐‑¬\xad]\s*$")
 _WORD = re.compile(r"(?:(?![一-鿿])[^\W_])+(?:[’'](?:(?![一-鿿])[^\W_])+)*")
 _LETTERS = re.compile(r"(?:(?![一-鿿])[^\W\d_])+")
+_PLAIN = re.compile(r"(?:(?![一-鿿])[^\W_])*(?:(?![一-鿿])[^\W\d_]|[ﬁﬂ])(?:(?![一-鿿])[^\W_])*").findall
 _COMPOUND = re.compile(r"(?:(?![一-鿿])[^\W\d_]){2,}(?:-(?:(?![一-鿿])[^\W\d_]){2,})+")
 _HAN = re.compile(r"[一-鿿]+")
 #: Which texts the decoder looks at: anything that might be a broken word or a page number at a line's end or start.
 SUSPECT = r"(?mU)(?:[\p{L}]{2}[-‐‑¬­][ \t]*\r?$|^[ \t]*[\[(–—-]?[ ]?(?:[0-9lIoOSB]{1,4}|[ivxIVX]{1,7})[ ]?(?:[\])–—-]|/[ ]?[0-9lIoOSB]{1,4})?[ \t]*\r?$|^[ \t]*(?:\p{L}{1,5}\.?)[ ]?[0-9lIoOSB]{1,4}(?:[ ]?\p{L}{0,3}/?[ ]?[0-9lIoOSB]{1,4})?[ \t]*\r?$|第[ ]?[0-9lIoOSB]{1,4}[ ]?页|^[ \t]*[0-9]{1,4}[ \t]{2,}\S|\S[ \t]{2,}[0-9]{1,4}[ \t]*\r?$)"
+_MARKDOWN = re.compile(r"^(?:#{1,6} |\||```|<!--|> |[*+] |- (?!\d))", re.M).search
+_BROKEN = re.compile(r"[^\W\d_]{2}[-‐‑¬\xad][ \t]*\r?$", re.M).search
 #: Entries of the model have at least this share of all counts, so there are at most 2,000,000.
 SHARE = 5e-7
 MEMORY = 300_000
@@ -126,7 +129,7 @@ def _near(a: str, b: str) -> bool:
     """Whether two folded lines are the same but for a few characters."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 5:
+    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 5 or a[:2] != b[:2] and a[-2:] != b[-2:] and a[2:5] != b[2:5]:
         return False
     row = list(range(len(b) + 1))
     most = max(1, len(a) // 8)
@@ -164,6 +167,7 @@ class Decoder:
         for pair, n in self.pairs.items():
             self.after.setdefault(pair[0], []).append((pair[1], n))
         self.fixed: dict[str, str | None] = {}
+        self.common = frozenset(w for w, n in self.words.items() if n * 2e4 >= self.total)
 
     # Furniture ------------------------------------------------------------------------------------------------------
 
@@ -189,11 +193,13 @@ class Decoder:
             bare.append(rest if 4 <= len(rest) <= 90 and not re.search(r"[.;,。；，:：]\Z", rest) else "")
             if rest != text and bare[i]:
                 pages[i] = ("beside", _value(text.replace(rest, "")))
-        folded = [_fold(t) for t in bare]
+        same = Counter(bare)
+        near = {j for i in pages for j in range(i - 2, i + 3)} | {0, 1, last - 1, last}
+        folded = [_fold(t) if t and (i in near or same[t] > 1 or not pages and len(t) < 60) else "" for i, t in enumerate(bare)]
 
         def likely(i: int) -> bool:
             text, f = bare[i], folded[i]
-            if not text or self._heading(text):
+            if not f or self._heading(text):
                 return False
             if len(text) < 60 and any(note in text.lower() or _near(f, _fold(note)) for note in NOTES):
                 return True
@@ -202,7 +208,7 @@ class Decoder:
             return any(_near(f, n) or len(n) > 5 and n in f and len(f) < 3 * len(n) for n in names)
 
         around = lambda i: (j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j <= last)
-        exact = Counter(f for f, t in zip(folded, bare) if t and not self._heading(t))
+        exact = Counter(f for f, t in zip(folded, bare) if f and not self._heading(t))
         at_seam = {j for i in pages for j in around(i)} | {0, 1, last - 1, last} & set(range(last + 1))
         groups: list[list[int]] = []
         for i in sorted(i for i in range(last + 1) if folded[i] and exact[folded[i]] and (i in at_seam or i in pages or exact[folded[i]] > 1)):
@@ -239,7 +245,7 @@ class Decoder:
                 line.furniture = True
         kept = {folded[i] for i in range(last + 1) if full[i].furniture and folded[i]}
         for i, line in enumerate(full):
-            if not line.furniture and bare[i] and not self._heading(bare[i]) and any(_near(folded[i], k) for k in kept):
+            if not line.furniture and folded[i] and not self._heading(bare[i]) and any(_near(folded[i], k) for k in kept):
                 line.furniture = True
         return seams
 
@@ -287,6 +293,8 @@ class Decoder:
     def misread(self, text: str, names: Counter) -> list[tuple[int, str, str]]:
         """(position, word, repaired word) of the misread words of a line."""
         out = []
+        if self.common.issuperset(_PLAIN(text.lower())):
+            return out
         for match in _WORD.finditer(text):
             word = match.group()
             for part in re.finditer(r"[^’']+", word):
@@ -333,13 +341,13 @@ class Decoder:
 
     # The whole text -------------------------------------------------------------------------------------------------
 
-    def decode(self, body: str, first: int, title: str | None) -> tuple[list[tuple[int, str]], str] | None:
-        """(line number, kind) of each noisy line, and the repaired text; None if the text was not scanned."""
-        lines = [Line(first + i, t.rstrip("\r")) for i, t in enumerate(body.split("\n"))]
-        if any(re.match(r"#{1,6} |\||```|<!--|> |[*+] |- (?!\d)", line.text) for line in lines):
+    def decode(self, body: str, first: int, title: str | None, repair: bool = True) -> tuple[list[tuple[int, str]], str] | None:
+        """(line number, kind) of each noisy line, and the repaired text if asked for; None if the text was not scanned."""
+        if _MARKDOWN(body):
             return None
+        lines = [Line(first + i, t.rstrip("\r")) for i, t in enumerate(body.split("\n"))]
         broken = 0
-        for line, after in zip(lines, lines[1:]):
+        for line, after in zip(lines, lines[1:]) if _BROKEN(body) else ():
             cut_ = HYPHEN.search(line.text)
             start = _LETTERS.match(after.text.strip()) if cut_ else None
             broken += bool(start and self.known(cut_.group(1) + start.group()))
@@ -390,7 +398,7 @@ class Decoder:
             return None
         noise = [(line.number, "furniture") for line in lines if line.furniture]
         noise += [(line.number, kind) for line in text for kind in line.kinds]
-        return sorted(noise), self._repaired(lines, text, fixes, joins, stream, owner)
+        return sorted(noise), self._repaired(lines, text, fixes, joins, stream, owner) if repair else ""
 
     def _hyphenated(self, before: str, left: str, right: str) -> bool:
         """Whether a hyphen at a line's end only breaks a word; a compound keeps its hyphen anyway."""
@@ -476,7 +484,7 @@ class Decoder:
         return re.sub(r" {2,}", " ", out)
 
 
-def _decoded(df: DataFrame, key: str, counts: dict[str, dict[str, int]], schema: str, rows_of) -> DataFrame:
+def _decoded(df: DataFrame, key: str, counts: dict[str, dict[str, int]], schema: str, rows_of, repair: bool) -> DataFrame:
     """Runs the decoder over the suspects of ``df`` (``key, body, first, title``) and yields ``rows_of`` each result."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
     names = [part.split()[0].strip("`") for part in schema.split(",")]
@@ -486,7 +494,7 @@ def _decoded(df: DataFrame, key: str, counts: dict[str, dict[str, int]], schema:
         for batch in batches:
             rows = []
             for row_id, body, first, title in zip(*(c.to_pylist() for c in batch.columns)):
-                result = decoder.decode(body, first, title)
+                result = decoder.decode(body, first, title, repair)
                 if result is not None:
                     rows += rows_of(row_id, result)
             if rows:
@@ -500,10 +508,10 @@ def _decoded(df: DataFrame, key: str, counts: dict[str, dict[str, int]], schema:
 def noise(df: DataFrame, key: str, counts: dict[str, dict[str, int]]) -> DataFrame:
     """``key, line_no, kind`` of the noisy lines; ``df`` has ``key, body, first`` (number of the body's first line), ``title``."""
     kind = df.select(key).schema[0].dataType.simpleString()
-    return _decoded(df, key, counts, f"`{key}` {kind}, line_no int, kind string", lambda i, r: [(i, line, k) for line, k in r[0]])
+    return _decoded(df, key, counts, f"`{key}` {kind}, line_no int, kind string", lambda i, r: [(i, line, k) for line, k in r[0]], False)
 
 
 def repaired(df: DataFrame, key: str, counts: dict[str, dict[str, int]]) -> DataFrame:
     """``key, text``: the scanned texts as continuous paragraphs."""
     kind = df.select(key).schema[0].dataType.simpleString()
-    return _decoded(df, key, counts, f"`{key}` {kind}, text string", lambda i, r: [(i, r[1])])
+    return _decoded(df, key, counts, f"`{key}` {kind}, text string", lambda i, r: [(i, r[1])], True)
