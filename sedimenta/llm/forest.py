@@ -20,6 +20,8 @@ from sedimenta.session import cut, release, shared_dir
 
 #: Runs that an index holds before they are merged into one.
 RUNS = 8
+#: Rows that are taken together, as a multiple of the rows before them.
+GROWTH = 2
 
 
 @dataclass
@@ -53,16 +55,12 @@ class Forest:
         of the batch and of all history. A record without a shingle is similar to none and leaves no entry.
         """
         signed = cut(neardup.sign(batch.withColumn("g", F.lit(0)), ["g", "id", "arrival"], F.col("text"), self.width))
-        order = F.struct("arrival", "id")
-        first = neardup.representatives(signed, "g", order)
-        repeats = signed.select("id", "same").join(first.filter("copies > 1").select("same", F.col("id").alias("rep")), "same").filter("id != rep").select("id")
-        fresh = first.drop("copies")
+        repeats = neardup.repeated(signed, "g", ["arrival", "id"]).select("id")
         if self.runs:
             seen = self.spark.read.parquet(*self.seen)
-            again = signed.select("id", "same").join(seen, "same", "left_semi").select("id")
-            repeats = repeats.unionByName(again).distinct()
-            fresh = fresh.join(seen, "same", "left_anti")
-        fresh = cut(fresh.withColumn("fresh", F.lit(True)))
+            repeats = repeats.unionByName(signed.select("id", "same").join(seen, "same", "left_semi").select("id")).distinct()
+        repeats = cut(repeats)
+        fresh = signed.join(repeats, "id", "left_anti").withColumn("fresh", F.lit(True))
         known = fresh
         if self.runs:
             known = fresh.unionByName(self.spark.read.parquet(*self.runs).withColumn("fresh", F.lit(False)))
@@ -108,12 +106,12 @@ def _without(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def rounds(counts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges of batch numbers to take together: each as large as all history before it, so that the index is read a
+    """Ranges of batch numbers to take together: each at most GROWTH times all history before it, so that the index is read a
     number of times that grows as the logarithm of the rows, whatever the number of batches. ``counts``: (batch, rows)."""
     out: list[tuple[int, int]] = []
     done = open_rows = 0
     for number, rows in sorted(counts):
-        if out and done and open_rows + rows <= done:
+        if out and done and open_rows + rows <= GROWTH * done:
             out[-1] = (out[-1][0], number)
             open_rows += rows
             continue

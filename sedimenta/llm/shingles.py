@@ -19,7 +19,7 @@ MEMORY = 500_000
 LANES = 64
 WORDS = LANES // 16
 #: Trees of a forest, and the minima (16 bits each) of one tree's label.
-TREES, LEVELS = 18, 4
+TREES, LEVELS = 17, 4
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
 MULTIPLY = _RANDOM.integers(0, 1 << 31, TREES * LEVELS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 FLIP = _RANDOM.integers(0, 1 << 32, TREES * LEVELS, dtype=np.uint32)
