@@ -1,8 +1,8 @@
 """TF-IDF vectors and the cosine similarity join with a lossless prefix filter.
 
 A pair reaches cosine t only if the two unit vectors share a term among the rarest terms whose removal would leave a
-norm below t. Such prefixes are joined on the term; partial products plus the product of the remaining norms bound the
-cosine from above, so most candidates fall before their vectors are fetched. Vectors are non-negative after taking
+norm below t. Such prefixes are joined on the term; partial products plus the greater of the remaining norms bound the
+cosine from above before vectors are fetched. Vectors are non-negative after taking
 absolute weights: a term's weights in two documents have the same sign.
 """
 
@@ -86,8 +86,8 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     a = entries.select("term", F.col(key).alias("id_a"), F.col("rest").alias("rest_a"), F.col("w").alias("w_a"))
     b = entries.select("term", F.col(key).alias("id_b"), F.col("rest").alias("rest_b"), F.col("w").alias("w_b"))
     met = a.join(b, "term").filter("id_a < id_b").groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.max("rest_a").alias("rest_a"), F.max("rest_b").alias("rest_b"))
-    # what the prefixes don't show lies in one suffix at least
-    bound = F.col("part") + F.col("rest_a") + F.col("rest_b") - F.col("rest_a") * F.col("rest_b")
+    # terms are in one order everywhere, so what the prefixes don't show lies wholly in the suffix that starts first
+    bound = F.col("part") + F.greatest("rest_a", "rest_b")
     likely = met.filter(bound >= threshold - SLACK).select("id_a", "id_b")
     side = lambda s: packed.select(F.col(key).alias(f"id_{s}"), F.col("terms").alias(f"terms_{s}"), F.col("values").alias(f"values_{s}"))
     both = likely.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", "terms_a", "values_a", "terms_b", "values_b")

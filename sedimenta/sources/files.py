@@ -58,7 +58,7 @@ def path_order(path: Column) -> Column:
 def text_layer(pages: DataFrame, key: str, text: str) -> DataFrame:
     """``key, has_text_layer``: at least 50 characters a page on average; a file without pages has none."""
     size = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\A\s+|\s+\z", ""))
-    return pages.groupBy(key).agg((F.sum(size) / F.count(text) >= TEXT_LAYER).alias("has_text_layer")).select(key, F.coalesce("has_text_layer", F.lit(False)).alias("has_text_layer"))
+    return pages.groupBy(key).agg((F.try_divide(F.sum(size), F.count(text)) >= TEXT_LAYER).alias("has_text_layer")).select(key, F.coalesce("has_text_layer", F.lit(False)).alias("has_text_layer"))
 
 
 def needs_recognition(path: Column, text: Column, has_text_layer: Column) -> Column:
@@ -104,6 +104,7 @@ class _Page(HTMLParser):
         elif tag == "img":
             self.out.append(f"![{get('alt') or ''}]({get('src') or ''})")
         elif tag in ("ul", "ol"):
+            self.out.append("" if self.lists else "\n")
             self.lists.append([tag, 0])
         elif tag == "li":
             top = self.lists[-1] if self.lists else ["ul", 0]
