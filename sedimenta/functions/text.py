@@ -113,9 +113,22 @@ def similarity_terms(text: Column) -> Column:
     """ASCII words of two letters or more, lower-cased, then pairs of successive Chinese characters of the whole text."""
     text = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    han = F.regexp_replace(text, f"[^{HAN}]", "")
-    starts = F.when(F.length(han) >= 2, F.sequence(F.lit(1), F.length(han) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.concat(words, F.transform(starts, lambda i: F.substring(han, i, F.lit(2))))
+    chars = F.split(F.regexp_replace(text, f"[^{HAN}]", ""), "")
+    size = F.greatest(F.size(chars) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, F.lit(1), size), F.slice(chars, F.lit(2), size), lambda a, b: F.concat(a, b))
+    return F.concat(words, pairs)
+
+
+_ASCII_WORDS, _HAN = re.compile("[a-z]{2,}").findall, re.compile(f"[{HAN}]").findall
+
+
+def count_terms(text: str | None) -> Counter:
+    """The terms of ``similarity_terms`` with their counts, for use in workers."""
+    text = text or ""
+    han = _HAN(text)
+    counts = Counter(_ASCII_WORDS(text.lower()))
+    counts.update(map("".join, zip(han, han[1:])))
+    return counts
 
 
 _FINGERPRINT_TOKENS = re.compile(f"[{HAN}]{{2,}}|[a-zA-Z]{{2,}}").findall

@@ -1,7 +1,7 @@
 """TF-IDF vectors and the cosine similarity join with a lossless prefix filter.
 
 A pair reaches cosine t only if the two unit vectors share a term among the rarest terms whose removal would leave a
-norm below t. Such prefixes are joined on the term; partial products plus the greater of the remaining norms bound the
+norm below t. Such prefixes are joined on the term; partial products plus a product of the remaining norms bound the
 cosine from above before vectors are fetched. Vectors are non-negative after taking
 absolute weights: a term's weights in two documents have the same sign.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.functions.text import similarity_terms
+from sedimenta.functions.text import count_terms
 from sedimenta.session import cut
 
 THRESHOLD = 0.85
@@ -24,8 +24,21 @@ SLACK = 1e-9
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, n``: how often each document holds each term."""
-    return df.select(key, F.explode(similarity_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """``key, term, n, total``: how often each document holds each term, and all its terms. Narrow: counted in the workers."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                counts = [count_terms(t) for t in part.column(1).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts]))
+                totals = pa.array(np.repeat([sum(c.values()) for c in counts], [len(c) for c in counts]).astype(np.int64))
+                terms = pa.array([t for c in counts for t in c], pa.string())
+                ns = pa.array([n for c in counts for n in c.values()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), terms, ns, totals], [key, "term", "n", "total"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, term string, n long, total long")
 
 
 def weights(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,18 +47,17 @@ def weights(df: DataFrame, key: str, text: str) -> DataFrame:
     All documents count, those without a term too.
     """
     counts = term_counts(df, key, text)
-    totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     documents = df.agg(F.count("*").alias("documents"))
-    joined = counts.join(totals, key).join(frequency, "term").crossJoin(F.broadcast(documents))
+    joined = counts.join(frequency, "term").crossJoin(F.broadcast(documents))
     tf, idf = F.col("n") / F.col("total"), F.log(F.col("documents") / (1 + F.col("df")))
     return joined.select(key, "term", "n", "df", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("weight"))
 
 
 def vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """Unit vectors as sorted arrays ``terms`` (64-bit hashes) and ``values``, with the prefix's ``entries``.
+    """Unit vectors as sorted arrays ``terms`` (64-bit hashes) and ``values``, with their prefixes.
 
-    ``entries`` holds the prefix's (term, value), ``rest`` the norm of what follows it. Documents of zero norm have no row.
+    ``heads`` and ``head_values`` are the prefix, ``afters`` the norms of what follows each of its terms, ``rest`` of what follows it. Documents of zero norm have no row.
     """
     long = weights(df, key, text).filter("weight != 0")
     packed = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("term"), F.abs("weight").alias("weight")))).alias("v"))
@@ -54,7 +66,7 @@ def vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, values, heads, head_values, rests = [], [], [], [], []
+            terms, values, heads, head_values, afters, rests = [], [], [], [], [], []
             for t, w in zip(batch.column(1), batch.column(2)):
                 t, w = np.array(t.values), np.array(w.values)
                 w = w / np.sqrt((w * w).sum())
@@ -62,14 +74,16 @@ def vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
                 size = int(np.count_nonzero(left >= threshold - SLACK))
                 order = np.argsort(t)
                 terms.append(t[order]), values.append(w[order]), heads.append(t[:size]), head_values.append(w[:size])
-                rests.append(float(left[size]) if size < len(left) else 0.0)
+                left = np.append(left, 0.0)
+                afters.append(left[1 : size + 1])
+                rests.append(float(left[size]))
             lists = lambda arrays, kind: pa.array(arrays, pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(terms, pa.int64()), lists(values, pa.float64()), lists(heads, pa.int64()), lists(head_values, pa.float64()), pa.array(rests)],
-                [key, "terms", "values", "heads", "head_values", "rest"],
+                [batch.column(0), lists(terms, pa.int64()), lists(values, pa.float64()), lists(heads, pa.int64()), lists(head_values, pa.float64()), lists(afters, pa.float64()), pa.array(rests)],
+                [key, "terms", "values", "heads", "head_values", "afters", "rest"],
             )
 
-    return plain.mapInArrow(run, f"`{key}` {kind}, terms array<long>, values array<double>, heads array<long>, head_values array<double>, rest double")
+    return plain.mapInArrow(run, f"`{key}` {kind}, terms array<long>, values array<double>, heads array<long>, head_values array<double>, afters array<double>, rest double")
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -82,15 +96,18 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHO
         raise ValueError("threshold must be positive")
     reps = copies(df, key, text).filter(F.col(key) == F.col("rep_id")).select(key)
     packed = cut(vectors(df, key, text, threshold).join(reps, key, "left_semi"))
-    entries = packed.select(key, "rest", F.explode(F.arrays_zip("heads", "head_values")).alias("e")).select(key, "rest", F.col("e.heads").alias("term"), F.col("e.head_values").alias("w"))
-    a = entries.select("term", F.col(key).alias("id_a"), F.col("rest").alias("rest_a"), F.col("w").alias("w_a"))
-    b = entries.select("term", F.col(key).alias("id_b"), F.col("rest").alias("rest_b"), F.col("w").alias("w_b"))
-    met = a.join(b, "term").filter("id_a < id_b").groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.max("rest_a").alias("rest_a"), F.max("rest_b").alias("rest_b"))
-    # terms are in one order everywhere, so what the prefixes don't show lies wholly in the suffix that starts first
-    bound = F.col("part") + F.greatest("rest_a", "rest_b")
+    head = F.explode(F.arrays_zip("heads", "head_values", "afters")).alias("e")
+    entries = packed.select(key, "rest", head).select(key, "rest", F.col("e.heads").alias("term"), F.col("e.head_values").alias("w"), F.col("e.afters").alias("after"))
+    side = lambda s: entries.select("term", *(F.col(c).alias(f"{n}_{s}") for c, n in ((key, "id"), ("rest", "rest"), ("w", "w"), ("after", "after"))))
+    met = side("a").join(side("b"), "term").filter("id_a < id_b").groupBy("id_a", "id_b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.max("rest_a").alias("rest_a"), F.max("rest_b").alias("rest_b"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b")
+    )
+    # Terms are in one order everywhere. What the prefixes don't show comes after the last term that they share, and lies
+    # wholly in the suffix that starts first.
+    bound = F.col("part") + F.greatest(F.col("rest_a") * F.col("after_b"), F.col("rest_b") * F.col("after_a"))
     likely = met.filter(bound >= threshold - SLACK).select("id_a", "id_b")
-    side = lambda s: packed.select(F.col(key).alias(f"id_{s}"), F.col("terms").alias(f"terms_{s}"), F.col("values").alias(f"values_{s}"))
-    both = likely.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", "terms_a", "values_a", "terms_b", "values_b")
+    vector = lambda s: packed.select(F.col(key).alias(f"id_{s}"), F.col("terms").alias(f"terms_{s}"), F.col("values").alias(f"values_{s}"))
+    both = likely.join(vector("a"), "id_a").join(vector("b"), "id_b").select("id_a", "id_b", "terms_a", "values_a", "terms_b", "values_b")
     kind = df.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
