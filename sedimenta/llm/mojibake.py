@@ -46,7 +46,7 @@ _BETWEEN = "’‘“”–—…‑·•«»/"
 _LETTER = r"(?:(?![一-鿿])[^\W\d_])"
 _PARTS = re.compile(rf"[一-鿿]+|{_LETTER}+(?:(?:(?![{_BETWEEN}])[^\w\s\x00-\x7f])+{_LETTER}+)*|[^\w\s]").findall
 _TOKENS = re.compile(r"[^ \t\r\n]+").findall
-_QUOTED = re.compile(r"“[^“”\n]{1,24}”|\"[^\"\n]{1,24}\"|`[^`\n]{1,24}`|«[^«»\n]{1,24}»|„[^„“”\n]{1,24}[“”]|‘[^‘’\n]{1,24}’|「[^「」\n]{1,24}」|'[^'\n ]{1,24}'")
+_QUOTED = re.compile(r"“[^“”\n]{1,24}”|\"[^\"\n]{1,24}\"|`[^`\n]{1,24}`|(?<![^\s(])«[^«»\n]{1,24}»(?![^\s.,;:!?)])|„[^„“”\n]{1,24}[“”]|‘[^‘’\n]{1,24}’|「[^「」\n]{1,24}」|'[^'\n ]{1,24}'")
 
 
 #: A symbol stuck between letters, which no right reading has.

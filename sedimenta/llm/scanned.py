@@ -222,7 +222,8 @@ class Decoder:
         for form, at in by_form.items():
             values = [pages[i][1] for i in at]
             steps = [b - a for a, b in zip(values, values[1:])]
-            counting = bool(steps) and sum(0 < x <= 2 for x in steps) * 2 >= len(steps)
+            apart = all(b - a > 2 for a, b in zip(at, at[1:]))  # a page holds some lines
+            counting = bool(steps) and apart and sum(0 < x <= 2 for x in steps) * 2 >= len(steps)
             for i in at:
                 helped = any(likely(j) or again.get(j, 0) > 1 for j in around(i) if j not in pages)
                 told = form not in ("#", "beside") or counting
