@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm import shingles as S
 from sedimenta.llm.sigtree import SignatureTree, alike
+from sedimenta.operators.components import components
 from sedimenta.session import cut, parallelism, release
 
 #: The columns of a sketch.
@@ -256,3 +257,22 @@ def expand(pairs: DataFrame, members: DataFrame, group: str) -> DataFrame:
     inside = within.withColumnRenamed("id", "left_id").join(other, [group, "rep_id"]).filter("left_id < right_id")
     both = across.select(group, "left_id", "right_id").unionByName(inside.select(group, "left_id", "right_id"))
     return both.select(group, F.least("left_id", "right_id").alias("id_a"), F.greatest("left_id", "right_id").alias("id_b"))
+
+
+def classes(pairs: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """``group, id, rep_id, class_id, links`` of all records with a link or a copy; nothing is expanded.
+
+    ``class_id`` is the smallest id of what links and copies connect, ``links`` the number of similar representatives.
+    """
+    kinds = [r[0] for r in members.select(group).distinct().collect()]  # few by nature: one for each table compared
+    number = F.create_map(*(x for i, k in enumerate(sorted(kinds)) for x in (F.lit(k), F.lit(i)))) if kinds else F.lit(None)
+    slot = lambda name: F.col(name) * F.lit(max(1, len(kinds))) + number[F.col(group)]
+    if not kinds:
+        return members.select(group, "id", "rep_id", F.col("rep_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    found = components(pairs.select(slot("id_a").alias("id_a"), slot("id_b").alias("id_b")))
+    ends = pairs.select(group, F.explode(F.array("id_a", "id_b")).alias("rep_id")).groupBy(group, "rep_id").agg(F.count("*").alias("links"))
+    connected = ends.withColumn("slot", slot("rep_id")).join(found.withColumnRenamed("id", "slot"), "slot")
+    connected = connected.select(group, "rep_id", "links", F.floor(F.col("component") / len(kinds)).cast("long").alias("class_id"))
+    copied = members.filter("id != rep_id").select(group, "rep_id").distinct().withColumn("copied", F.lit(True))
+    joined = members.join(connected, [group, "rep_id"], "left").join(copied, [group, "rep_id"], "left").filter("links IS NOT NULL OR copied")
+    return joined.select(group, "id", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

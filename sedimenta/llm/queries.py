@@ -141,6 +141,15 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.expand(pairs, members, "src")
 
 
+def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """Every record that is like another one: its group, its representative among equal texts, and its number of links.
+
+    A link is a similar record of different text, by representatives; a group is whatever links and copies connect.
+    """
+    pairs, members = neardup.similar(_bodies(spark, directory), "src", WIDTH, THRESHOLD)
+    return neardup.classes(pairs, members, "src")
+
+
 # Problem 6 ---------------------------------------------------------------------------------------------------------
 
 

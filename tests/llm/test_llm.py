@@ -136,6 +136,24 @@ def test_pairs_equal_brute_force(spark):
     assert found_pairs(spark, rows[:0]) == set()
 
 
+def test_classes(spark):
+    rows = list(enumerate(texts(8, 6, 4) + ["lone words stand here", "a b c", "a b c"]))
+    pairs, members = neardup.similar(frame(spark, rows), "src", 3, 0.5)
+    got = {r.id: r for r in neardup.classes(pairs, members, "src").collect()}
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in brute(rows):
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    assert set(got) == {x for p in brute(rows) for x in p}
+    assert all(r.class_id == root(i) for i, r in got.items())
+
+
 def test_hot_runs_are_split_without_loss(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.choice(WORDS) + str(k) for k in range(60)]
