@@ -196,4 +196,33 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express on whole tables."""
-    return {}
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    block = quote(r"(?s)\A---[ \t]*\r?\n(?:.*?\n)??---[ \t]*\r?(?:\n|\z)")
+    bare = f"CASE WHEN starts_with(content, '---') THEN regexp_replace(content, {block}, '') ELSE content END"
+    space = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    marks = f"{survivors.MARKER}|{survivors.HAN}"
+    ends = rf"(?: ?(?:\((?:\d{{1,4}}|{marks})\)|{survivors.HAN})| {survivors.MARKER})+\z"
+    starts = rf"\A(?:(?:\((?:\d{{1,4}}|{marks})\)|{survivors.HAN}) ?|{survivors.MARKER} )+"
+    names = rf"""
+paths AS (SELECT *, regexp_replace(regexp_replace(replace(lower(url_decode(replace(path, '+', '%2B'))), '\', '/'), '/(?:\.?/)+', '/', 'g'), '\A(?:\./+)+', '') AS p FROM mirror_documents),
+parts AS (SELECT *, regexp_extract(p, '(?s)\A(.*/)?') AS folder, regexp_extract(p, '(?s)([^/]*)\z', 1) AS name FROM paths),
+stems AS (SELECT *, regexp_extract(name, '((?:\.[a-z][a-z0-9]{{0,4}}){{1,2}})\z', 1) AS ending FROM parts),
+spaced AS (SELECT *, trim(regexp_replace(left(name, length(name) - length(ending)), '[\s_\-. ]+', ' ', 'g')) AS s FROM stems),
+keyed AS (SELECT *, regexp_replace(folder, '[\s_\- ]+', ' ', 'g') || coalesce(nullif(trim(regexp_replace(regexp_replace(s, {quote(ends)}, ''), {quote(starts)}, '')), ''), s) || ending AS k FROM spaced)"""
+    found = f"""WITH {names},
+votes AS (SELECT k, file_id, score, coalesce(epoch_us(modified_at), -(1::BIGINT << 62)) AS recent, coalesce(trust_rank, 1 << 30) AS trust, coalesce(length(regexp_replace({bare}, '{space}+', '', 'g')), 0) AS solid FROM keyed LEFT JOIN origins USING (origin)),
+several AS (SELECT k, min(file_id) AS group_id FROM votes GROUP BY k HAVING count(*) > 1),
+ranked AS (
+  SELECT group_id, 'content' AS field_name, file_id, row_number() OVER (PARTITION BY group_id ORDER BY solid DESC, recent DESC, file_id) AS r FROM votes JOIN several USING (k) WHERE solid > 0
+  UNION ALL SELECT group_id, 'path', file_id, row_number() OVER (PARTITION BY group_id ORDER BY recent DESC, file_id) FROM votes JOIN several USING (k)
+  UNION ALL SELECT group_id, 'score', file_id, row_number() OVER (PARTITION BY group_id ORDER BY trust, recent DESC, file_id) FROM votes JOIN several USING (k) WHERE score IS NOT NULL)
+SELECT group_id, field_name, file_id FROM ranked WHERE r = 1"""
+    pairs = rf"""WITH texts AS (
+  SELECT 'mirror_documents' AS src, file_id AS id, {bare} AS t FROM mirror_documents WHERE content IS NOT NULL
+  UNION ALL SELECT 'notes', id, content FROM notes WHERE content IS NOT NULL),
+words AS (SELECT src, id, regexp_extract_all(regexp_replace(lower(t), '([一-鿿])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+') AS w FROM texts),
+shingles AS (SELECT DISTINCT src, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT src, id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
+sizes AS (SELECT src, id, count(*) AS n FROM shingles GROUP BY ALL),
+common AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM shingles a JOIN shingles b ON a.src = b.src AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT common.src, id_a, id_b FROM common JOIN sizes x ON x.src = common.src AND x.id = id_a JOIN sizes y ON y.src = common.src AND y.id = id_b WHERE 2 * c >= x.n + y.n - c"""
+    return {"p3_found": found, "p5_found": pairs}

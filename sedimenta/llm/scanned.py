@@ -291,30 +291,96 @@ class Decoder:
     def known(self, word: str) -> int:
         return self.words.get(word.lower(), 0)
 
-    def misread(self, text: str, names: Counter) -> list[tuple[int, str, str]]:
-        """(position, word, repaired word) of the misread words of a line."""
-        out = []
-        if self.common.issuperset(_PLAIN(text.lower())):
-            return out
-        for match in _WORD.finditer(text):
-            word = match.group()
-            for part in re.finditer(r"[^’']+", word):
-                bit = part.group()
-                if bit.isdigit() or re.fullmatch(r"[A-Z]{2,4}", bit):
-                    continue
-                if not any(c.isdigit() for c in bit) and self.known(bit) * 2e4 >= self.total:
-                    continue
-                if "ﬁ" in bit or "ﬂ" in bit:
-                    out.append((match.start() + part.start(), bit, bit.replace("ﬁ", "fi").replace("ﬂ", "fl")))
-                    continue
-                fixed = self.fix(bit)
-                if fixed is None and len(bit) > 4 and bit[0].isupper() and names.get(bit, 0) <= 1 and self.known(bit) * 2e5 < self.total:
-                    for name, times in names.items():
-                        if times >= 3 and name != bit and len(name) == len(bit) and sum(a != b for a, b in zip(name, bit)) == 1 and self.known(name) > 3 * self.known(bit):
-                            fixed = name
-                if fixed is not None:
-                    out.append((match.start() + part.start(), bit, fixed.capitalize() if bit[0].isupper() else fixed))
-        return out
+    def _name_fix(self, bit: str, names: Counter) -> str | None:
+        """The name of the text that a rare capitalised word differs from in one letter, if it stands there often."""
+        if len(bit) > 4 and bit[0].isupper() and names.get(bit, 0) <= 1 and self.known(bit) * 2e5 < self.total:
+            for name, times in names.items():
+                if times >= 3 and name != bit and len(name) == len(bit) and sum(a != b for a, b in zip(name, bit)) == 1 and self.known(name) > 3 * self.known(bit):
+                    return name
+        return None
+
+    def _cost(self, word: str) -> float:
+        """Nats that a word costs in the stream; an unknown one the more the longer it is."""
+        n = self.words.get(word.lower(), 0)
+        return -math.log(n / self.total) if n else math.log(self.total) + 3.0 + 0.3 * len(word)
+
+    def _readings(self, bit: str, names: Counter) -> list[tuple[float, str]]:
+        """What a token may be: itself, or the word or name that it is a misreading of."""
+        if bit.isdigit() or bit.isupper() and 2 <= len(bit) <= 4:
+            return [(0.0, bit)]
+        if "ﬁ" in bit or "ﬂ" in bit:
+            whole = bit.replace("ﬁ", "fi").replace("ﬂ", "fl")
+            return [(self._cost(whole), whole)]
+        own = (self._cost(bit), bit)
+        fixed = self.fix(bit) or self._name_fix(bit, names)
+        if fixed is None:
+            return [own]
+        right = fixed.capitalize() if bit[0].isupper() else fixed
+        return [own, (min(self._cost(right) + 1.0, own[0] - 0.1), right)]
+
+    def segment(self, text: list[Line], names: Counter) -> list[tuple[str, list[tuple[int, int, str]], str]]:
+        """The cheapest path through the stream of tokens: (kind, tokens, word) of each step that changes something.
+
+        Tokens are (line, position, text). A step takes one token as it is or misread (``char``) or as two words that
+        lost their blank (``split``), or two tokens that a hyphen at a line's end (``hyphen``) or a stray blank or line
+        end (``merge``) keeps apart. A broken word may be misread as well.
+        """
+        tokens: list[tuple[int, int, str]] = []
+        glue: list[str] = []
+        for at, line in enumerate(text):
+            if not _HAN.search(line.text) and self.common.issuperset(_PLAIN(line.text.lower())) and not HYPHEN.search(line.text) and not (at and HYPHEN.search(text[at - 1].text)):
+                if glue:
+                    glue[-1] = "apart"
+                continue
+            end = 0
+            for match in re.finditer(r"(?:(?![一-鿿])[^\W_])+", line.text):
+                between = line.text[end : match.start()]
+                if tokens and glue[-1] == "":
+                    glue[-1] = "blank" if end and between == " " else "apart"
+                elif tokens and glue[-1] == "line":
+                    glue[-1] = "hyphen" if HYPHEN.search(text[tokens[-1][0]].text) and not between.strip() and tokens[-1][0] == at - 1 else "line" if not between.strip() and tokens[-1][0] == at - 1 else "apart"
+                tokens.append((at, match.start(), match.group()))
+                glue.append("")
+                end = match.end()
+            if glue and tokens[-1][0] == at:
+                rest = line.text[end:].strip()
+                glue[-1] = "line" if not rest or HYPHEN.search(line.text) and len(rest) == 1 else "apart"
+        best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")] + [(math.inf, 0, "", "")] * len(tokens)
+
+        def offer(end: int, cost: float, start: int, kind: str, word: str) -> None:
+            if cost < best[end][0]:
+                best[end] = (cost, start, kind, word)
+
+        for i, (at, _, bit) in enumerate(tokens):
+            base = best[i][0]
+            if bit.lower() in self.common:
+                offer(i + 1, base + self._cost(bit), i, "", bit)
+            else:
+                for cost, word in self._readings(bit, names):
+                    offer(i + 1, base + cost, i, "char" if word != bit else "", word)
+                if not self.known(bit) and len(bit) >= 6 and bit.isalpha():
+                    for k in range(3, len(bit) - 2):
+                        if bit[:k].lower() in self.common and bit[k:].lower() in self.common:
+                            offer(i + 1, base + self._cost(bit[:k]) + self._cost(bit[k:]) + 6.0, i, "split", bit[:k] + " " + bit[k:])
+            if i + 1 == len(tokens) or glue[i] == "apart":
+                continue
+            after = tokens[i + 1][2]
+            whole = bit + after
+            if glue[i] == "hyphen" and after[:1].isalpha():
+                before = text[at].text[: HYPHEN.search(text[at].text).end(1)]
+                if self._hyphenated(before, bit, after):
+                    apart = min(self._cost(bit), self._cost(bit.lower())) + self._cost(after)
+                    for cost, word in self._readings(whole, names):
+                        offer(i + 2, base + min(cost, apart - 0.1), i, "hyphen", word)
+            elif glue[i] in ("blank", "line") and self.known(whole) > 20 * max(1, min(self.known(bit), self.known(after))) and min(len(bit), len(after)) > 1:
+                offer(i + 2, base + self._cost(whole) + (5.0 if glue[i] == "blank" else 8.0), i, "merge", whole)
+        steps, end = [], len(tokens)
+        while end:
+            _, start, kind, word = best[end]
+            if kind:
+                steps.append((kind, tokens[start:end], word))
+            end = start
+        return steps[::-1]
 
     def han(self, text: str) -> list[tuple[int, str]]:
         """(position, right character) of the misread Chinese characters of a stream without line ends and stray blanks."""
@@ -354,39 +420,25 @@ class Decoder:
             broken += bool(start and self.known(cut_.group(1) + start.group()))
         seams = self.furniture(lines, title, broken)
         text = [line for line in lines if not line.furniture and line.text.strip()]
-        joins: dict[int, str] = {}
-        for at, (line, after) in enumerate(zip(text, text[1:])):
-            broken = HYPHEN.search(line.text)
-            start = _WORD.match(after.text.strip())
-            if not broken or not start or not start.group()[:1].isalpha():
-                continue
-            left, right = broken.group(1), re.match(r"[^’']+", start.group()).group()
-            if self._hyphenated(line.text[: broken.end(1)], left, right):
-                line.kinds.add("hyphen")
-                joins[at] = left + right
-        if not seams and len(joins) < 1:
-            return None
         names = Counter(w for line in text for w in _WORD.findall(line.text) if w[0].isupper())
+        joins: dict[int, str] = {}
         fixes: dict[int, list[tuple[int, str, str]]] = {}
-        for at, line in enumerate(text):
-            found = self.misread(line.text, names)
-            end, begin = None, None
-            if at in joins:
-                end = HYPHEN.search(line.text).start(1)
-            if at - 1 in joins:
-                begin = len(line.text) - len(line.text.lstrip())
-            found = [f for f in found if f[0] != end and f[0] != begin]
-            if end is not None:
-                left = HYPHEN.search(line.text).group(1)
-                whole = joins[at]
-                fixed = self.fix(whole) if self.known(whole) * 2e4 < self.total else None
-                if fixed is not None:
-                    differs = next((k for k, (x, y) in enumerate(zip(whole.lower(), fixed)) if x != y), len(fixed))
-                    (line if differs < len(left) else text[at + 1]).kinds.add("char")
-                    joins[at] = fixed.capitalize() if whole[0].isupper() else fixed
-            if found:
-                line.kinds.add("char")
-                fixes[at] = found
+        for kind, tokens, word in self.segment(text, names):
+            at, place, bit = tokens[0]
+            if kind == "hyphen":
+                text[at].kinds.add("hyphen")
+                joins[at] = word
+                whole = bit + tokens[1][2]
+                if word.lower() != whole.lower():
+                    differs = next((k for k, (x, y) in enumerate(zip(whole.lower(), word.lower())) if x != y), len(word))
+                    text[tokens[0 if differs < len(bit) else 1][0]].kinds.add("char")
+            elif kind == "char":
+                text[at].kinds.add("char")
+                fixes.setdefault(at, []).append((place, bit, word))
+            elif kind == "split" or kind == "merge" and tokens[1][0] == at:
+                fixes.setdefault(at, []).append((place, " ".join(t[2] for t in tokens), word))
+        if not seams and not joins:
+            return None
         stream, owner = [], []
         for at, line in enumerate(text):
             content = re.sub(r"(?<=[一-鿿，。；：、])[ \t]+|[ \t]+(?=[一-鿿，。；：、])", "", line.text.strip())
