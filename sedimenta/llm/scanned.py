@@ -41,7 +41,9 @@ PAGE = re.compile(
     rf"|(?:[Pp]a[gq][ec]|[Ss][ec][il1]t[ec]|S\.|[Pp]\.|PAGE|SEITE|Bl\.|Blatt) ?{_DIGITS}(?: ?(?:of|0f|von|sur|de|/|av|VON|OF|SUR) ?{_DIGITS})?|第 ?{_DIGITS} ?页(?:[ ,，/]*共 ?{_DIGITS} ?页)?)"
 )
 HYPHEN = re.compile(r"([^\W\d_]{2,}|[^\W_]{2,})[-‐‑¬\xad]\s*$")
+_HYPHENS = tuple("-‐‑¬\xad")
 _WORD = re.compile(r"(?:(?![一-鿿])[^\W_])+(?:[’'](?:(?![一-鿿])[^\W_])+)*")
+_TOKEN = re.compile(r"(?:(?![一-鿿])[^\W_])+").finditer
 _LETTERS = re.compile(r"(?:(?![一-鿿])[^\W\d_])+")
 _PLAIN = re.compile(r"(?:(?![一-鿿])[^\W_])*(?:(?![一-鿿])[^\W\d_]|[ﬁﬂ])(?:(?![一-鿿])[^\W_])*").findall
 _COMPOUND = re.compile(r"(?:(?![一-鿿])[^\W\d_]){2,}(?:-(?:(?![一-鿿])[^\W\d_]){2,})+")
@@ -106,6 +108,11 @@ def model(counts: DataFrame, share: float = SHARE) -> dict[str, dict[str, int]]:
     return out
 
 
+def _broken(text: str) -> re.Match | None:
+    """The word before a hyphen that ends a line."""
+    return HYPHEN.search(text) if text.rstrip()[-1:] in _HYPHENS else None
+
+
 @dataclass
 class Line:
     """One line of a body."""
@@ -328,23 +335,23 @@ class Decoder:
         tokens: list[tuple[int, int, str]] = []
         glue: list[str] = []
         for at, line in enumerate(text):
-            if not _HAN.search(line.text) and self.common.issuperset(_PLAIN(line.text.lower())) and not HYPHEN.search(line.text) and not (at and HYPHEN.search(text[at - 1].text)):
+            if self.common.issuperset(_PLAIN(line.text.lower())) and not _broken(line.text) and not (at and _broken(text[at - 1].text)):
                 if glue:
                     glue[-1] = "apart"
                 continue
             end = 0
-            for match in re.finditer(r"(?:(?![一-鿿])[^\W_])+", line.text):
+            for match in _TOKEN(line.text):
                 between = line.text[end : match.start()]
                 if tokens and glue[-1] == "":
                     glue[-1] = "blank" if end and between == " " else "apart"
                 elif tokens and glue[-1] == "line":
-                    glue[-1] = "hyphen" if HYPHEN.search(text[tokens[-1][0]].text) and not between.strip() and tokens[-1][0] == at - 1 else "line" if not between.strip() and tokens[-1][0] == at - 1 else "apart"
+                    glue[-1] = "hyphen" if _broken(text[tokens[-1][0]].text) and not between.strip() and tokens[-1][0] == at - 1 else "line" if not between.strip() and tokens[-1][0] == at - 1 else "apart"
                 tokens.append((at, match.start(), match.group()))
                 glue.append("")
                 end = match.end()
             if glue and tokens[-1][0] == at:
                 rest = line.text[end:].strip()
-                glue[-1] = "line" if not rest or HYPHEN.search(line.text) and len(rest) == 1 else "apart"
+                glue[-1] = "line" if not rest or _broken(line.text) and len(rest) == 1 else "apart"
         best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")] + [(math.inf, 0, "", "")] * len(tokens)
 
         def offer(end: int, cost: float, start: int, kind: str, word: str) -> None:
@@ -367,7 +374,7 @@ class Decoder:
             after = tokens[i + 1][2]
             whole = bit + after
             if glue[i] == "hyphen" and after[:1].isalpha():
-                before = text[at].text[: HYPHEN.search(text[at].text).end(1)]
+                before = text[at].text[: _broken(text[at].text).end(1)]
                 if self._hyphenated(before, bit, after):
                     apart = min(self._cost(bit), self._cost(bit.lower())) + self._cost(after)
                     for cost, word in self._readings(whole, names):
@@ -386,24 +393,25 @@ class Decoder:
         """(position, right character) of the misread Chinese characters of a stream without line ends and stray blanks."""
         out = []
         low, high = self.pair_total * 2e-5 + 2, self.pair_total * 4e-5 + 2
-        n = lambda a, b: self.pairs.get(a + b, 0)
-        is_han = lambda c: "一" <= c <= "鿿"
-        for i, char in enumerate(text):
-            if not is_han(char):
-                continue
-            before = text[i - 1] if i and is_han(text[i - 1]) else ""
-            after = text[i + 1] if i + 1 < len(text) and is_han(text[i + 1]) else ""
-            own = [n(before, char)] * bool(before) + [n(char, after)] * bool(after)
-            if len(own) < 2 or max(own) > low:
-                continue
-            best = (0, "")
-            for other, m in self.after.get(before, ()):
-                if m >= high and other != char:
-                    k = n(other, after)
-                    if k >= high and min(m, k) > best[0] and min(m, k) >= 15 * (max(own) + 1):
-                        best = (min(m, k), other)
-            if best[1]:
-                out.append((i, best[1]))
+        get = self.pairs.get
+        for match in _HAN.finditer(text):
+            run = match.group()
+            for i in range(1, len(run) - 1):
+                left = get(run[i - 1 : i + 1], 0)
+                if left > low:
+                    continue
+                right = get(run[i : i + 2], 0)
+                if right > low:
+                    continue
+                before, after, least = run[i - 1], run[i + 1], max(high, 15 * (max(left, right) + 1))
+                best = (0, "")
+                for other, m in self.after.get(before, ()):
+                    if m >= least and other != run[i]:
+                        k = get(other + after, 0)
+                        if k >= least and min(m, k) > best[0]:
+                            best = (min(m, k), other)
+                if best[1]:
+                    out.append((match.start() + i, best[1]))
         return out
 
     # The whole text -------------------------------------------------------------------------------------------------
@@ -415,7 +423,7 @@ class Decoder:
         lines = [Line(first + i, t.rstrip("\r")) for i, t in enumerate(body.split("\n"))]
         broken = 0
         for line, after in zip(lines, lines[1:]) if _BROKEN(body) else ():
-            cut_ = HYPHEN.search(line.text)
+            cut_ = _broken(line.text)
             start = _LETTERS.match(after.text.strip()) if cut_ else None
             broken += bool(start and self.known(cut_.group(1) + start.group()))
         seams = self.furniture(lines, title, broken)
@@ -480,7 +488,7 @@ class Decoder:
                 parts[at] = re.sub(rf"(?<![^\W_]){re.escape(word)}(?![^\W_])", lambda m, right=right: right, parts[at], count=1)
         for at in sorted(joins):
             start = _WORD.match(parts[at + 1])
-            broken = HYPHEN.search(parts[at])
+            broken = _broken(parts[at])
             if start and broken:
                 tail = re.match(r"[^’']+", start.group()).end()
                 parts[at] = parts[at][: broken.start(1)] + joins[at] + parts[at + 1][tail : start.end()]
