@@ -2,7 +2,7 @@
 
 The language model is the corpus: words, hyphenated compounds and pairs of neighbouring Chinese characters of all
 bodies, and the lines that are headings in many of them. A text is taken for scanned if it has page seams (page numbers
-with running headers or footers) or words broken at line ends, and no Markdown structure.
+with running headers or footers) or words broken at line ends, and more of them than lines of Markdown.
 
 1. Lines of page furniture are taken out: page numbers, and short lines that recur at page seams, even when misread.
 2. What is left is one stream of tokens without its line ends. A shortest path through it decides for each token whether
@@ -40,6 +40,8 @@ PAGE = re.compile(
     rf"(?:[-–—~·] ?{_DIGITS} ?[-–—~·]|\[ ?{_DIGITS} ?\]|\( ?{_DIGITS} ?\)|[0-9]{{1,4}}|{_DIGITS} ?/ ?{_DIGITS}|[ivxl]{{1,7}}|[IVX]{{1,7}}"
     rf"|(?:[Pp]a[gq][ec]|[Ss][ec][il1]t[ec]|S\.|[Pp]\.|PAGE|SEITE|Bl\.|Blatt) ?{_DIGITS}(?: ?(?:of|0f|von|sur|de|/|av|VON|OF|SUR) ?{_DIGITS})?|第 ?{_DIGITS} ?页(?:[ ,，/]*共 ?{_DIGITS} ?页)?)"
 )
+#: A line that is or holds a page number.
+_NUMBERED = re.compile(rf"(?:{PAGE.pattern})\Z|{_DIGITS}\s{{2,}}|.*\s{{2,}}{_DIGITS}\Z").match
 HYPHEN = re.compile(r"([^\W\d_]{2,}|[^\W_]{2,})[-‐‑¬\xad]\s*$")
 _HYPHENS = tuple("-‐‑¬\xad")
 _WORD = re.compile(r"(?:(?![一-鿿])[^\W_])+(?:[’'](?:(?![一-鿿])[^\W_])+)*")
@@ -50,7 +52,11 @@ _COMPOUND = re.compile(r"(?:(?![一-鿿])[^\W\d_]){2,}(?:-(?:(?![一-鿿])[^\W\d
 _HAN = re.compile(r"[一-鿿]+")
 #: Which texts the decoder looks at: anything that might be a broken word or a page number at a line's end or start.
 SUSPECT = r"(?mU)(?:[\p{L}]{2}[-‐‑¬­][ \t]*\r?$|^[ \t]*[\[(–—-]?[ ]?(?:[0-9lIoOSB]{1,4}|[ivxIVX]{1,7})[ ]?(?:[\])–—-]|/[ ]?[0-9lIoOSB]{1,4})?[ \t]*\r?$|^[ \t]*(?:\p{L}{1,5}\.?)[ ]?[0-9lIoOSB]{1,4}(?:[ ]?\p{L}{0,3}/?[ ]?[0-9lIoOSB]{1,4})?[ \t]*\r?$|第[ ]?[0-9lIoOSB]{1,4}[ ]?页|^[ \t]*[0-9]{1,4}[ \t]{2,}\S|\S[ \t]{2,}[0-9]{1,4}[ \t]*\r?$)"
-_MARKDOWN = re.compile(r"^(?:#{1,6} |\||```|<!--|> |[*+] |- (?!\d))", re.M).search
+#: Lines of Markdown: headings, fences and comments, which no scanner makes, and others, which may be misread text (a
+#: row of a table ends with its bar, else the first letter may be a misread l).
+_MARKDOWN = re.compile(r"^(?:(#{1,6} |```|<!--)|(?:\|(?=[ :]|.*\|[ \t]*\r?$)|> |[*+] |- (?!\d)).*)", re.M).finditer
+#: Lines that a heading, fence or comment counts as.
+PLAINLY = 8
 _BROKEN = re.compile(r"[^\W\d_]{2}[-‐‑¬\xad][ \t]*\r?$", re.M).search
 #: Entries of the model have at least this share of all counts, so there are at most 2,000,000.
 SHARE = 5e-7
@@ -418,15 +424,18 @@ class Decoder:
 
     def decode(self, body: str, first: int, title: str | None, repair: bool = True) -> tuple[list[tuple[int, str]], str] | None:
         """(line number, kind) of each noisy line, and the repaired text if asked for; None if the text was not scanned."""
-        if _MARKDOWN(body):
-            return None
+        marked = sum(PLAINLY if m.group(1) else not PAGE.fullmatch(m.group().strip()) for m in _MARKDOWN(body))
         lines = [Line(first + i, t.rstrip("\r")) for i, t in enumerate(body.split("\n"))]
+        if marked and marked > sum(bool(_broken(line.text) or _NUMBERED(line.text.strip())) for line in lines):
+            return None  # more than its seams can be
         broken = 0
         for line, after in zip(lines, lines[1:]) if _BROKEN(body) else ():
             cut_ = _broken(line.text)
             start = _LETTERS.match(after.text.strip()) if cut_ else None
             broken += bool(start and self.known(cut_.group(1) + start.group()))
         seams = self.furniture(lines, title, broken)
+        if marked > seams + broken:
+            return None
         text = [line for line in lines if not line.furniture and line.text.strip()]
         names = Counter(w for line in text for w in _WORD.findall(line.text) if w[0].isupper())
         joins: dict[int, str] = {}

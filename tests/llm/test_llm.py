@@ -322,6 +322,16 @@ def test_what_is_no_scan(model):
         assert decoder.decode(text, 1, None) is None
 
 
+def test_one_line_like_markdown_is_no_veto(model):
+    for line, other in [("- 2 -", "- l2 -"), ("- 1 -", "- l -"), ("late the customer portal", "|ate the customer portal"), ("image of the week", "- image of the week")]:
+        body = scan().replace(line, other)
+        found = scanned.Decoder(model).decode(body, 1, "Other")
+        assert body != scan() and found is not None
+        assert sum(kind == "furniture" for _, kind in found[0]) == 6
+    rows = "\n".join(f"| a | {i} |" for i in range(9))
+    assert scanned.Decoder(model).decode(scan() + "\n" + rows, 1, "Other") is None
+
+
 def test_noise_rows(spark, model):
     df = spark.createDataFrame([(1, scan(), 4, None), (2, None, 1, "x"), (3, "", 1, None)], "file_id long, body string, first int, title string")
     rows = scanned.noise(df, "file_id", model).collect()
