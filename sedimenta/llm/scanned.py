@@ -31,6 +31,12 @@ CONFUSIONS = [
     ("u", "n"), ("n", "u"), ("tt", "ü"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("e", "é"), ("q", "g"), ("g", "q"), ("y", "v"), ("v", "y"), ("!", "l"), ("|", "l"), ("é", "e"), ("lt", "k"), ("fi", "ﬁ"),
     ("B", "ß"), ("r", "n"), ("s", "5"), ("j", "i"), ("ö", "o"), ("ä", "a"), ("ü", "u"),
 ]
+# Chinese characters that are read for each other, one group each.
+LOOKALIKES = (
+    "木本术 贞页负贝 囹图圄圆困 仵件忤 人入八 问间向同闻 日旧曰目白 末未朱 丈文又 宙审亩 厍库 抉块快决 异导 己已巳 大太犬夫天 土士上 千干于 王玉主 田由甲申 自目 侍待持 今令 刀力 九丸 午牛 名各 代伐 折拆析 侯候 辩辨 "
+    "治冶 没设 住往佳 晴睛 请清情 侧测则 拔拨 复夏 密蜜 准淮 史吏 体休 何伺 徒徙 微徽 怏快 戌戍 扳板 技枝 报执 毎每 洁诘 淸清 了子 万方 用甩 风凤 乌鸟 买卖 历厉 厂广 止正 壮状 处外 己巳 母毌 密宻 录彔 汁计 沐沭 未来 "
+    "理埋 現现 表袤 袖抽 栏拦 档挡 模摸 根报 标杯 段投 组绀 细绸 给绐 结绪 续绩 编偏 缩绾 综棕 词诃 译泽 读续 证讧 项顶 须顺 预顸 题匙 颗颖 饮钦 验脸 版板 换挟 据掘 描猫 推椎 核该 格恪 级极 约的 线钱 统绕 时吋 明朋 是昰 晚挽"
+).split()
 # Notes of confidentiality and kinds of houses that stand in running footers and headers.
 NOTES = ("for internal use", "internal use only", "confidential", "nur für den dienstgebrauch", "vertraulich", "diffusion restreinte", "usage interne", "confidentiel", "内部资料", "内部使用", "机密")
 HOUSES = r"(?:Archives?|Office|Works|Institute?|Press|Bureau|Institut|Archiv|Amt|Werke)"
@@ -61,13 +67,22 @@ _BROKEN = re.compile(r"[^\W\d_]{2}[-‐‑¬\xad][ \t]*\r?$", re.M).search
 #: Entries of the model have at least this share of all counts, so there are at most 2,000,000.
 SHARE = 5e-7
 MEMORY = 300_000
+KINDS = "wchle"
+#: Nats by which another reading of a Chinese character must beat it: 15 times as frequent beside both its neighbours.
+CHANGE = 2 * math.log(15)
+
+
+def _edges(text: str, run: re.Match) -> tuple[str, str]:
+    """What stands before and after a run of Chinese characters: 0 a digit, a another letter, a dot anything else or nothing."""
+    kind = lambda char: "0" if char.isdigit() else "a" if char.isalpha() else "."
+    return kind(text[run.start() - 1 : run.start()]), kind(text[run.end() : run.end() + 1])
 
 
 def counted(df: DataFrame, body: Column) -> DataFrame:
-    """``kind, word, n`` over all bodies: w words, c compounds, h pairs of Chinese characters, l heading lines."""
+    """``kind, word, n`` over all bodies: w words, c compounds, h pairs of Chinese characters, e their runs' edges, l heading lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {kind: Counter() for kind in "wchl"}
+        counts = {kind: Counter() for kind in KINDS}
 
         def flush() -> pa.RecordBatch:
             rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
@@ -87,9 +102,13 @@ def counted(df: DataFrame, body: Column) -> DataFrame:
                     found = _LETTERS.findall(token)
                 else:
                     found = _LETTERS.findall(token)
-                    for run_ in _HAN.findall(token):
+                    for match in _HAN.finditer(token):
+                        run_ = match.group()
                         for pair in map("".join, zip(run_, run_[1:])):
                             counts["h"][pair] += times
+                        before, after = _edges(token, match)
+                        counts["e"][before + run_[0]] += times
+                        counts["e"][run_[-1] + after] += times
                 for word in found:
                     counts["w"][word] += times
                 if "-" in token:
@@ -104,11 +123,11 @@ def counted(df: DataFrame, body: Column) -> DataFrame:
 
 
 def model(counts: DataFrame, share: float = SHARE) -> dict[str, dict[str, int]]:
-    """The entries with at least ``share`` of their kind's counts: at most 1 / share of each of the four kinds."""
+    """The entries with at least ``share`` of their kind's counts: at most 1 / share of each of the five kinds."""
     counts = cut(counts)
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= share * F.col("total")).toArrow()
-    out: dict[str, dict[str, int]] = {kind: {} for kind in "wchl"}
+    out: dict[str, dict[str, int]] = {kind: {} for kind in KINDS}
     for kind, word, n in zip(*(kept.column(c).to_pylist() for c in ("kind", "word", "n"))):
         out[kind][word] = n
     return out
@@ -175,7 +194,12 @@ class Decoder:
         self.words, self.compounds, self.pairs, self.lines = (counts[k] for k in "wchl")
         self.total = sum(self.words.values()) + 1
         self.pair_total = sum(self.pairs.values()) + 1
+        self.beside = self.pairs | counts.get("e", {})
         self.heading_least = max(4, sum(self.lines.values()) // 1000)
+        self.alike: dict[str, set[str]] = {}
+        for group in LOOKALIKES:
+            for char in group:
+                self.alike.setdefault(char, set()).update(group.replace(char, ""))
         self.after: dict[str, list[tuple[str, int]]] = {}
         for pair, n in self.pairs.items():
             self.after.setdefault(pair[0], []).append((pair[1], n))
@@ -396,30 +420,61 @@ class Decoder:
         return steps[::-1]
 
     def han(self, text: str) -> list[tuple[int, str]]:
-        """(position, right character) of the misread Chinese characters of a stream without line ends and stray blanks."""
+        """(position, right character) of the misread Chinese characters of a stream without line ends and stray blanks.
+
+        The likeliest path through each run, its edges included: a character is itself, one that looks like it, or one
+        that the neighbours on both sides call for; what is called for within runs of this text may stand at edges too.
+        """
+        runs = list(_HAN.finditer(text))
+        called = [self._called(match.group()) for match in runs]
+        seen: dict[str, set[str]] = {}
+        for match, found in zip(runs, called):
+            for i, char in found.items():
+                seen.setdefault(match.group()[i], set()).add(char)
         out = []
+        for match, found in zip(runs, called):
+            run = match.group()
+            options = [{*self.alike.get(c, ()), *seen.get(c, ()), *([found[i]] if i in found else [])} for i, c in enumerate(run)]
+            if any(options):
+                right = self._likeliest(run, options, *_edges(text, match))
+                out += [(match.start() + i, b) for i, (a, b) in enumerate(zip(run, right)) if a != b]
+        return out
+
+    def _called(self, run: str) -> dict[int, str]:
+        """The characters within a run that stand beside neither neighbour elsewhere, and what stands there instead."""
+        out = {}
         low, high = self.pair_total * 2e-5 + 2, self.pair_total * 4e-5 + 2
         get = self.pairs.get
-        for match in _HAN.finditer(text):
-            run = match.group()
-            for i in range(1, len(run) - 1):
-                left = get(run[i - 1 : i + 1], 0)
-                if left > low:
-                    continue
-                right = get(run[i : i + 2], 0)
-                if right > low:
-                    continue
-                before, after, least = run[i - 1], run[i + 1], max(high, 15 * (max(left, right) + 1))
-                best = (0, "")
-                for other, m in self.after.get(before, ()):
-                    if m >= least and other != run[i]:
-                        k = get(other + after, 0)
-                        if k >= least and min(m, k) > best[0]:
-                            best = (min(m, k), other)
-                if best[1]:
-                    out.append((match.start() + i, best[1]))
+        for i in range(1, len(run) - 1):
+            left = get(run[i - 1 : i + 1], 0)
+            if left > low:
+                continue
+            right = get(run[i : i + 2], 0)
+            if right > low:
+                continue
+            before, after, least = run[i - 1], run[i + 1], max(high, 15 * (max(left, right) + 1))
+            best = (0, "")
+            for other, m in self.after.get(before, ()):
+                if m >= least and other != run[i]:
+                    k = get(other + after, 0)
+                    if k >= least and min(m, k) > best[0]:
+                        best = (min(m, k), other)
+            if best[1]:
+                out[i] = best[1]
         return out
 
+    def _likeliest(self, run: str, options: list[set[str]], before: str, after: str) -> str:
+        """The reading of a run with the greatest sum of log pair counts, less ``CHANGE`` for each changed character."""
+        get = self.beside.get
+        paths = {before: (0.0, "")}
+        for char, others in zip(run, options):
+            step = {}
+            for other in (char, *sorted(others)):
+                fee = 0.0 if other == char else CHANGE
+                step[other] = max((score + math.log(get(tail + other, 0) + 0.5) - fee, path + other) for tail, (score, path) in paths.items())
+            paths = step
+        return max((score + math.log(get(tail + after, 0) + 0.5), path) for tail, (score, path) in paths.items())[1]
+
     # The whole text -------------------------------------------------------------------------------------------------
 
     def decode(self, body: str, first: int, title: str | None, repair: bool = True) -> tuple[list[tuple[int, str]], str] | None:

@@ -332,6 +332,16 @@ def test_one_line_like_markdown_is_no_veto(model):
     assert scanned.Decoder(model).decode(scan() + "\n" + rows, 1, "Other") is None
 
 
+def test_misread_characters_at_the_edges_of_chinese_runs(spark):
+    plain = "本章说明成本模型与知识库。评审时间超过8页，文件12页。人名入库，负责人在。" * 300
+    counts = scanned.model(scanned.counted(spark.createDataFrame([(plain,)], "body string"), F.col("body")))
+    decoder = scanned.Decoder(counts)
+    for right, read in [("。本章说明", "。木章说明"), ("文件12页。", "文件12贞。"), ("知识库。评", "知识厍。评"), ("评审时间超", "评宙时问超"), ("文件12页。", "丈仵12贞。")]:
+        assert "".join(right[i] if dict(decoder.han(read)).get(i) == right[i] else c for i, c in enumerate(read)) == right
+        assert {i for i, _ in decoder.han(read)} == {i for i, c in enumerate(read) if c != right[i]}
+    assert decoder.han(plain) == []
+
+
 def test_noise_rows(spark, model):
     df = spark.createDataFrame([(1, scan(), 4, None), (2, None, 1, "x"), (3, "", 1, None)], "file_id long, body string, first int, title string")
     rows = scanned.noise(df, "file_id", model).collect()
