@@ -43,7 +43,7 @@ HOUSES = r"(?:Archives?|Office|Works|Institute?|Press|Bureau|Institut|Archiv|Amt
 _DIGITS = r"[0-9lIoOSB]{1,4}"
 #: A line that is a page number.
 PAGE = re.compile(
-    rf"(?:[-–—~·] ?{_DIGITS} ?[-–—~·]|\[ ?{_DIGITS} ?\]|\( ?{_DIGITS} ?\)|[0-9]{{1,4}}|{_DIGITS} ?/ ?{_DIGITS}|[ivxl]{{1,7}}|[IVX]{{1,7}}"
+    rf"(?:[-–—~·] ?{_DIGITS} ?[-–—~·]|\[ ?{_DIGITS} ?\]|\( ?{_DIGITS} ?\)|(?=[lIoOSB]*[0-9]){_DIGITS}|{_DIGITS} ?/ ?{_DIGITS}|[ivxl]{{1,7}}|[IVX]{{1,7}}"
     rf"|(?:[Pp]a[gq][ec]|[Ss][ec][il1]t[ec]|S\.|[Pp]\.|PAGE|SEITE|Bl\.|Blatt) ?{_DIGITS}(?: ?(?:of|0f|von|sur|de|/|av|VON|OF|SUR) ?{_DIGITS})?|第 ?{_DIGITS} ?页(?:[ ,，/]*共 ?{_DIGITS} ?页)?)"
 )
 #: A line that is or holds a page number.
@@ -220,16 +220,28 @@ class Decoder:
         names = [_fold(title)] if title and len(title) > 3 else []
         bare: list[str] = []
         pages: dict[int, tuple[str, int]] = {}
+        misread: set[int] = set()
+        unfit: set[int] = set()
         for i, line in enumerate(full):
             text = line.text.strip()
             if PAGE.fullmatch(text):
                 bare.append("")
-                pages[i] = (re.sub(r"[0-9lIoOSB]+|^[ivxlIVX]+$", "#", text), _value(text))
+                form = re.sub(r"[0-9lIoOSB]+|^[ivxlIVX]+$", "#", text)
+                pages[i] = (form, _value(text))
+                misread |= {i} if form == "#" and not text.isdigit() and re.search(r"[0-9]", text) else set()
                 continue
             rest = re.sub(rf"\A{_DIGITS}\s{{2,}}|\s{{2,}}{_DIGITS}\Z", "", text)
             bare.append(rest if 4 <= len(rest) <= 90 and not re.search(r"[.;,。；，:：]\Z", rest) else "")
             if rest != text and bare[i]:
                 pages[i] = ("beside", _value(text.replace(rest, "")))
+        plain = [i for i in pages if pages[i][0] == "#"]
+        for before, i, after in zip([None, *plain], plain, [*plain[1:], None]):
+            value = pages[i][1]
+            if i in misread and not (before is not None and 0 < value - pages[before][1] <= 2 or after is not None and 0 < pages[after][1] - value <= 2):
+                unfit.add(i)  # a misread bare number is one only where it continues the count
+        for i in unfit:
+            del pages[i]
+            bare[i] = full[i].text.strip() if len(full[i].text.strip()) == 4 else ""
         same = Counter(bare)
         near = {j for i in pages for j in range(i - 2, i + 3)} | {0, 1, last - 1, last}
         folded = [_fold(t) if t and (i in near or same[t] > 1 or not pages and len(t) < 60) else "" for i, t in enumerate(bare)]
@@ -283,7 +295,7 @@ class Decoder:
                 line.furniture = True
         kept = {folded[i] for i in range(last + 1) if full[i].furniture and folded[i]}
         for i, line in enumerate(full):
-            if not line.furniture and folded[i] and not self._heading(bare[i]) and any(_near(folded[i], k) for k in kept):
+            if kept and not line.furniture and bare[i] and not self._heading(bare[i]) and any(_near(folded[i] or _fold(bare[i]), k) for k in kept):
                 line.furniture = True
         return seams
 

@@ -342,6 +342,15 @@ def test_misread_characters_at_the_edges_of_chinese_runs(spark):
     assert decoder.han(plain) == []
 
 
+def test_misread_bare_page_numbers_and_headers(model):
+    numbered = lambda *numbers: "\n".join(numbers[int(line[2]) - 1] if line[:2] == "- " else line for line in scan().split("\n"))
+    furniture = lambda body: {body.split("\n")[n - 1] for n, kind in scanned.Decoder(model).decode(body, 1, "Other")[0] if kind == "furniture"}
+    assert furniture(numbered("14", "l5", "16")) == {"14", "l5", "16", "Mirror Archive"}
+    assert furniture(numbered("14", "S9", "15")) == {"14", "15", "Mirror Archive"}
+    far = "every image of the week\nthe nightly report of it\nMirror Arch1ve\nthe second audit of it\nthe portal of the archive\nthe week"
+    assert furniture(scan().replace("\nimage of the week", "\n" + far + "\nimage of the week")) == {"- 1 -", "- 2 -", "- 3 -", "Mirror Archive", "Mirror Arch1ve"}
+
+
 def test_noise_rows(spark, model):
     df = spark.createDataFrame([(1, scan(), 4, None), (2, None, 1, "x"), (3, "", 1, None)], "file_id long, body string, first int, title string")
     rows = scanned.noise(df, "file_id", model).collect()
