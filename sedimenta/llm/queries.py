@@ -81,11 +81,12 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, directory: str) -> DataFrame:
-    """One record per file: each field's value with the greatest sum of source trust times recency decay.
+    """One whole record per file: each field's value with the greatest sum of source trust times recency decay.
 
     A vote is 1 / trust_rank (1/100 where the origin is unknown) halved for every 180 days before the newest ingest of
     the whole table; a record without ``modified_at`` counts as three years old. Values that differ only in blanks at
-    their ends are one value.
+    their ends are one value. ``content`` and ``path`` are large: their votes go to a hash of the value, and the text comes
+    from the winner's first record.
     """
     rows = _ranked(spark, directory)
     newest = table(spark, directory, "mirror_documents").agg(F.max("ingested_at").alias("newest"))
@@ -93,10 +94,19 @@ def p3_survivors(spark: SparkSession, directory: str) -> DataFrame:
     days = F.coalesce((F.unix_seconds("newest") - F.unix_seconds("modified_at")) / 86400, F.lit(1095.0))
     vote = F.pow(F.lit(2.0), -days / 180) / F.coalesce("trust_rank", F.lit(100))
     plain = lambda name: F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
-    names = ["title", "score", "doc_format"]
-    fields = {name: (plain(name), plain(name).isNotNull(), F.round(vote, 9).cast("decimal(20,9)")) for name in names}
+    names, large = ["title", "score", "doc_format"], ["content", "path"]
+    vote = F.round(vote, 9).cast("decimal(20,9)")
+    fields = {name: (plain(name), plain(name).isNotNull(), vote) for name in names}
+    fields |= {name: (F.sha2(plain(name), 256), plain(name).isNotNull(), vote) for name in large}
     winners = survivors.voted(survivors.unpivot(rows, F.col("group"), F.col("file_id"), fields))
-    return survivors.pivot_back(winners, "group_key", "value", names).withColumnRenamed("group_key", "file_key")
+    found = survivors.pivot_back(winners, "group_key", "value", names)
+    first = survivors.pivot_back(winners, "group_key", "winner_id", large)
+    records = table(spark, directory, "mirror_documents")
+    for name in large:
+        texts = records.select(F.col("file_id").alias("supplier"), plain(name).alias(name))
+        chosen = first.select("group_key", F.col(name).alias("supplier"))
+        found = found.join(chosen.filter("supplier IS NOT NULL").join(texts, "supplier").drop("supplier"), "group_key", "left")
+    return found.withColumnRenamed("group_key", "file_key")
 
 
 # Problem 4 ---------------------------------------------------------------------------------------------------------

@@ -84,7 +84,7 @@ def suppliers(long: DataFrame, at_least: int = 2) -> DataFrame:
 
 
 def voted(long: DataFrame) -> DataFrame:
-    """Winners by summed votes: ``group_key, field_name, value``.
+    """Winners by summed votes: ``group_key, field_name, value``, and ``winner_id``, the first record that has the value.
 
     ``vote`` is a number; votes of records whose value is the same add up, and the value with the greatest sum wins,
     then the one with the smallest ``record_id``. Values that may not be supplied have no vote.
@@ -94,6 +94,7 @@ def voted(long: DataFrame) -> DataFrame:
     )
     return sums.groupBy("group_key", "field_name").agg(
         F.max_by("value", F.struct(F.col("votes"), -F.col("first_id"))).alias("value"),
+        F.max_by("first_id", F.struct(F.col("votes"), -F.col("first_id"))).alias("winner_id"),
         F.max("votes").alias("votes"),
         F.min("first_id").alias("first_id"),
         F.sum("voters").alias("voters"),

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -234,6 +235,21 @@ def test_suppliers_and_votes(spark):
     assert survivors.pivot_back(voted, "group_key", "value", ["f", "g"]).filter("g IS NULL").count() == 2
 
 
+def test_survivors_are_whole_records(spark, tmp_path):
+    from sedimenta.llm import queries
+
+    schema = "file_id long, path string, title string, content string, score int, doc_format string, origin string, modified_at timestamp, ingested_at timestamp"
+    at = lambda day: datetime(2024, 1, day)
+    rows = [(1, "a/b.md", "T", "one", 1, "pdf", "x", at(1), at(9)), (2, "A/B_v2.md", "T", " two\n\n", 2, "pdf", "y", at(1), at(9)), (3, "a/b - Copy.md", None, "one ", None, "pdf", "y", at(1), at(9)),
+            (4, "a/b_v3.md", "U", "three", 3, "pdf", "z", at(1), at(9)), (5, "c.md", None, " ", None, None, None, None, at(9)), (6, "d.md", "D", None, 4, "md", "x", None, at(9)), (7, None, "N", "n", 4, "md", "x", None, at(9))]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/mirror_documents.parquet")
+    spark.createDataFrame([("x", 2), ("y", 4), ("z", 2)], "origin string, trust_rank int").write.parquet(f"{tmp_path}/origins.parquet")
+    got = {r.file_key: r for r in queries.p3_survivors(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a/b.md", "c.md", "d.md"}
+    assert (got["a/b.md"].content, got["a/b.md"].path, got["a/b.md"].title) == ("one", "a/b.md", "T")
+    assert (got["c.md"].content, got["c.md"].path, got["d.md"].content, got["d.md"].path) == (None, "c.md", None, "d.md")
+
+
 # Wrong encodings -----------------------------------------------------------------------------------------------------
 
 CLEAN = (
