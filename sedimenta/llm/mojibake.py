@@ -139,6 +139,7 @@ class Channel:
         self.known: dict[str, tuple[float, str | None, str]] = {}
         self.patterns: dict[tuple[int, str], list[str]] | None = None
         self.fitting: dict[str, dict[tuple, list[str]]] = {}
+        self.preceding: dict[str, dict[str, int]] | None = None
         self.chars: Counter[str] = Counter()
         for word, n in model.items():
             for char in word:
@@ -196,15 +197,16 @@ class Channel:
 
     def _viterbi(self, data: list[int | None], right: str) -> str | None:
         """Best path through the byte lattice; a wildcard stands for a lost byte or two, a stray byte stays lost."""
-        if right not in ("utf-8", "gbk"):
+        if right not in ("utf-8", "gbk", "big5"):
             return None
         fits = self._fits(right)
         size, spoilt = len(data), 1.5 * self.floor
         states: dict[int, dict[str, tuple[float, str]]] = {0: {"": (0.0, "")}}
         for at in range(size):
-            here = sorted(states.pop(at, {}).values(), key=lambda x: -x[0])[:6]
+            here = sorted(states.pop(at, {}).values(), key=lambda x: -x[0])
             if not here:
                 continue
+            tails = {x[1][-1:]: x for x in here}
             first = data[at]
             moves: list[tuple[int, str, float]] = []
             if first is None:
@@ -226,12 +228,16 @@ class Channel:
                             moves.append((at + len(seen), char, 0.0))
             for end, char, cost in moves:
                 kept = states.setdefault(end, {})
-                for score, text in here:
-                    if char and char >= "\x80" and char != LOST:
-                        n = self.model.get(text[-1:] + char, 0)
-                        gained = math.log(n / self.total) if n else math.log((self.chars.get(char, 0) + 0.3) / self.total) - 6.0
-                    else:
-                        gained = cost
+                if char and char >= "\x80" and char != LOST:
+                    before = self._before().get(char, {})
+                    known = before.keys() & tails.keys()
+                    reached = [(tails[tail], math.log(before[tail] / self.total)) for tail in known]
+                    other = next((x for x in here if x[1][-1:] not in known), None)  # all others gain the same
+                    if other is not None:
+                        reached.append((other, math.log((self.chars.get(char, 0) + 0.3) / self.total) - 6.0))
+                else:
+                    reached = [(x, cost) for x in here]
+                for (score, text), gained in reached:
                     longer = text if char == LOST and text.endswith(LOST) else text + char
                     tail = longer[-1:]
                     if tail not in kept or kept[tail][0] < score + gained:
@@ -239,6 +245,15 @@ class Channel:
         ends = states.get(size)
         return max(ends.values())[1] if ends else None
 
+    def _before(self) -> dict[str, dict[str, int]]:
+        """For each character, the characters (or nothing) that the model has before it, and how often."""
+        if self.preceding is None:
+            self.preceding = {}
+            for word, n in self.model.items():
+                if len(word) <= 2:
+                    self.preceding.setdefault(word[-1], {})[word[:-1]] = n
+        return self.preceding
+
     def _fits(self, right: str) -> dict[tuple, list[str]]:
         """The model's characters beyond ASCII by their bytes in ``right``, with any of the later bytes unknown."""
         if right not in self.fitting:
@@ -250,9 +265,7 @@ class Channel:
                     continue
                 masks = {2: [(0, 0), (0, 1)], 3: [(0, 0, 0), (0, 1, 0), (0, 0, 1), (0, 1, 1)]}.get(len(raw), [])
                 for mask in masks:
-                    kept = table.setdefault(tuple(None if m else b for b, m in zip(raw, mask)), [])
-                    if len(kept) < 24:
-                        kept.append(char)
+                    table.setdefault(tuple(None if m else b for b, m in zip(raw, mask)), []).append(char)
             self.fitting[right] = table
         return self.fitting[right]
 

@@ -293,6 +293,18 @@ def test_clean_and_quoted_texts_are_no_cases(restorer):
         assert restorer.restore(text)[0] == 0
 
 
+def test_lattice_lets_all_fitting_characters_compete():
+    lead = "中".encode()[:2]
+    others = [c for c in map(chr, range(0x4E00, 0x4E40)) if c.encode()[:2] == lead and c != "中"]
+    assert len(others) > 24
+    model = {c + "的": 1000 for c in others} | {"国中": 5, "中心": 5, "心的": 5}
+    channel = mojibake.Channel(model)
+    data = [*"国".encode(), *lead, None, *"心".encode()]
+    assert channel._viterbi(data, "utf-8") == "国中心"
+    big5 = [*"國".encode("big5"), "中".encode("big5")[0], None, *"心".encode("big5")]
+    assert mojibake.Channel({"國中": 5, "中心": 5})._viterbi(big5, "big5") == "國中心"
+
+
 def test_restored_rows(spark, restorer):
     rows = [(1, CLEAN), (2, None), (3, ""), (4, CLEAN.encode().decode("cp1252", "ignore"))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
