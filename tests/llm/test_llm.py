@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 from datetime import datetime
+from math import comb
 
 import numpy as np
 import pytest
@@ -194,6 +195,13 @@ def refused(rows):
     return out
 
 
+def test_joint_recall_at_the_threshold():
+    depth, agree = neardup.depth_for(0.5), 0.5 + 0.5 / 16
+    forest_keeps = 1 - (1 - 0.5**depth) ** shingles.TREES
+    sketch_loses = sum(comb(shingles.LANES, k) * agree**k * (1 - agree) ** (shingles.LANES - k) for k in range(shingles.least_agreeing(0.5)))
+    assert forest_keeps * (1 - sketch_loses) >= 0.994
+
+
 @pytest.mark.parametrize("together", [[(1, 1), (2, 2), (3, 3), (4, 4)], [(1, 1), (2, 4)], [(1, 4)]])
 def test_forest_accepts_batch_by_batch(spark, together):
     rng = random.Random(4)
