@@ -1,12 +1,15 @@
 """Problem 2: text of scanned pages, its noise found line by line and the text repaired into paragraphs.
 
 The language model is the corpus: words, hyphenated compounds and pairs of neighbouring Chinese characters of all
-bodies, and the lines that are headings in many of them. A text is taken for scanned if it has page seams (page numbers
-with running headers or footers) or words broken at line ends, and more of them than lines of Markdown.
+bodies, the lines that are headings in many of them, and the phrases that recur as lines within many of them.
 
-1. Lines of page furniture are taken out: page numbers, and short lines that recur at page seams, even when misread.
-2. What is left is one stream of tokens without its line ends. A shortest path through it decides for each token whether
-   it stands as it is, has misread characters, joins the next one (stray blanks, hyphens and line ends), or is two words.
+A text is taken for scanned by a score: page numbers that count, running headers and footers that cut sentences, words
+broken at line ends and stray blanks between Chinese characters speak for it, lines of Markdown against it.
+
+1. Lines of page furniture are taken out: page numbers, and lines that recur at page seams, even when misread.
+2. What is left is one stream of characters without its line ends. A shortest path through its lattice decides for each
+   word and each Chinese character whether it stands as it is, is misread, goes on after a stray blank, a hyphen or a
+   line end, or is two words that lost their blank. Words are walked as prefixes of the vocabulary, with confusions.
 3. Paragraph boundaries are the cheapest segmentation of the lines, by dynamic programming.
 """
 
@@ -28,27 +31,23 @@ from sedimenta.session import cut
 CONFUSIONS = [
     ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("1", "i"), ("1", "l"), ("l", "i"), ("i", "l"), ("l", "t"), ("0", "o"), ("o", "a"), ("a", "o"), ("5", "s"), ("8", "b"), ("9", "g"), ("6", "é"), ("6", "b"),
     ("b", "h"), ("h", "b"), ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("m", "in"), ("in", "m"), ("ni", "m"), ("h", "li"), ("li", "h"),
-    ("u", "n"), ("n", "u"), ("tt", "ü"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("e", "é"), ("q", "g"), ("g", "q"), ("y", "v"), ("v", "y"), ("!", "l"), ("|", "l"), ("é", "e"), ("lt", "k"), ("fi", "ﬁ"),
+    ("u", "n"), ("n", "u"), ("tt", "ü"), ("ii", "ü"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("e", "é"), ("q", "g"), ("g", "q"), ("y", "v"), ("v", "y"), ("!", "l"), ("|", "l"), ("é", "e"), ("lt", "k"), ("fi", "ﬁ"),
     ("B", "ß"), ("r", "n"), ("s", "5"), ("j", "i"), ("ö", "o"), ("ä", "a"), ("ü", "u"),
 ]
 # Chinese characters that are read for each other, one group each.
 LOOKALIKES = (
-    "木本术 贞页负贝 囹图圄圆困 仵件忤 人入八 问间向同闻 日旧曰目白 末未朱 丈文又 宙审亩 厍库 抉块快决 异导 己已巳 大太犬夫天 土士上 千干于 王玉主 田由甲申 自目 侍待持 今令 刀力 九丸 午牛 名各 代伐 折拆析 侯候 辩辨 "
+    "木本术 市布 贞页负贝 囹图圄圆困 仵件忤 人入八 问间向同闻 日旧曰目白 末未朱 丈文又 宙审亩 厍库 抉块快决 异导 己已巳 大太犬夫天 土士上 千干于 王玉主 田由甲申 自目 侍待持 今令 刀力 九丸 午牛 名各 代伐 折拆析 侯候 辩辨 "
     "治冶 没设 住往佳 晴睛 请清情 侧测则 拔拨 复夏 密蜜 准淮 史吏 体休 何伺 徒徙 微徽 怏快 戌戍 扳板 技枝 报执 毎每 洁诘 淸清 了子 万方 用甩 风凤 乌鸟 买卖 历厉 厂广 止正 壮状 处外 己巳 母毌 密宻 录彔 汁计 沐沭 未来 "
     "理埋 現现 表袤 袖抽 栏拦 档挡 模摸 根报 标杯 段投 组绀 细绸 给绐 结绪 续绩 编偏 缩绾 综棕 词诃 译泽 读续 证讧 项顶 须顺 预顸 题匙 颗颖 饮钦 验脸 版板 换挟 据掘 描猫 推椎 核该 格恪 级极 约的 线钱 统绕 时吋 明朋 是昰 晚挽"
 ).split()
-# Notes of confidentiality and kinds of houses that stand in running footers and headers.
-NOTES = ("for internal use", "internal use only", "confidential", "nur für den dienstgebrauch", "vertraulich", "diffusion restreinte", "usage interne", "confidentiel", "内部资料", "内部使用", "机密")
-HOUSES = r"(?:Archives?|Office|Works|Institute?|Press|Bureau|Institut|Archiv|Amt|Werke)"
 _DIGITS = r"[0-9lIoOSB]{1,4}"
 #: A line that is a page number.
 PAGE = re.compile(
     rf"(?:[-–—~·] ?{_DIGITS} ?[-–—~·]|\[ ?{_DIGITS} ?\]|\( ?{_DIGITS} ?\)|(?=[lIoOSB]*[0-9]){_DIGITS}|{_DIGITS} ?/ ?{_DIGITS}|[ivxl]{{1,7}}|[IVX]{{1,7}}"
     rf"|(?:[Pp]a[gq][ec]|[Ss][ec][il1]t[ec]|S\.|[Pp]\.|PAGE|SEITE|Bl\.|Blatt) ?{_DIGITS}(?: ?(?:of|0f|von|sur|de|/|av|VON|OF|SUR) ?{_DIGITS})?|第 ?{_DIGITS} ?页(?:[ ,，/]*共 ?{_DIGITS} ?页)?)"
 )
-#: A line that is or holds a page number.
-_NUMBERED = re.compile(rf"(?:{PAGE.pattern})\Z|{_DIGITS}\s{{2,}}|.*\s{{2,}}{_DIGITS}\Z").match
 HYPHEN = re.compile(r"([^\W\d_]{2,}|[^\W_]{2,})[-‐‑¬\xad]\s*$")
+_BESIDE = re.compile(rf"\A{_DIGITS}\s{{2,}}|\s{{2,}}{_DIGITS}\Z")
 _HYPHENS = tuple("-‐‑¬\xad")
 _WORD = re.compile(r"(?:(?![一-鿿])[^\W_])+(?:[’'](?:(?![一-鿿])[^\W_])+)*")
 _TOKEN = re.compile(r"(?:(?![一-鿿])[^\W_])+").finditer
@@ -56,30 +55,51 @@ _LETTERS = re.compile(r"(?:(?![一-鿿])[^\W\d_])+")
 _PLAIN = re.compile(r"(?:(?![一-鿿])[^\W_])*(?:(?![一-鿿])[^\W\d_]|[ﬁﬂ])(?:(?![一-鿿])[^\W_])*").findall
 _COMPOUND = re.compile(r"(?:(?![一-鿿])[^\W\d_]){2,}(?:-(?:(?![一-鿿])[^\W\d_]){2,})+")
 _HAN = re.compile(r"[一-鿿]+")
-#: Which texts the decoder looks at: anything that might be a broken word or a page number at a line's end or start.
-SUSPECT = r"(?mU)(?:[\p{L}]{2}[-‐‑¬­][ \t]*\r?$|^[ \t]*[\[(–—-]?[ ]?(?:[0-9lIoOSB]{1,4}|[ivxIVX]{1,7})[ ]?(?:[\])–—-]|/[ ]?[0-9lIoOSB]{1,4})?[ \t]*\r?$|^[ \t]*(?:\p{L}{1,5}\.?)[ ]?[0-9lIoOSB]{1,4}(?:[ ]?\p{L}{0,3}/?[ ]?[0-9lIoOSB]{1,4})?[ \t]*\r?$|第[ ]?[0-9lIoOSB]{1,4}[ ]?页|^[ \t]*[0-9]{1,4}[ \t]{2,}\S|\S[ \t]{2,}[0-9]{1,4}[ \t]*\r?$)"
+_HAN_RUN = re.compile(r"[一-鿿]+(?:\n[一-鿿]+)*")
+#: One blank between two Chinese characters, as only scanners leave it; lines of cells have more or wider gaps.
+_STRAY = re.compile(r"(?<=[一-鿿，、])[ ](?=[一-鿿])")
+_SPACED = re.compile(r"(?<=[一-鿿，。；：、])[ \t]+|[ \t]+(?=[一-鿿，。；：、])")
+#: A line that a sentence does not end with.
+_OPEN = re.compile(r"[^.!?。！？:：…|>]\s*\Z").search
+_PIECES = re.compile(r"\s*[·|–—]\s*|\s{2,}")
 #: Lines of Markdown: headings, fences and comments, which no scanner makes, and others, which may be misread text (a
 #: row of a table ends with its bar, else the first letter may be a misread l).
 _MARKDOWN = re.compile(r"^(?:(#{1,6} |```|<!--)|(?:\|(?=[ :]|.*\|[ \t]*\r?$)|> |[*+] |- (?!\d)).*)", re.M).finditer
 #: Lines that a heading, fence or comment counts as.
 PLAINLY = 8
 _BROKEN = re.compile(r"[^\W\d_]{2}[-‐‑¬\xad][ \t]*\r?$", re.M).search
-#: Entries of the model have at least this share of all counts, so there are at most 2,000,000.
+#: Entries of the model have at least this share of their kind's counts, so there are at most 2,000,000 of each kind.
 SHARE = 5e-7
 MEMORY = 300_000
-KINDS = "wchle"
-#: Nats by which another reading of a Chinese character must beat it: 15 times as frequent beside both its neighbours.
-CHANGE = 2 * math.log(15)
+KINDS = "wchler"
+#: Nats by which another reading of a Chinese character must beat it: if the two look alike, and if not.
+CHANGE, STRANGE = math.log(100), math.log(3000)
 
 
-def _edges(text: str, run: re.Match) -> tuple[str, str]:
+def _edges(text: str, start: int, end: int) -> tuple[str, str]:
     """What stands before and after a run of Chinese characters: 0 a digit, a another letter, a dot anything else or nothing."""
     kind = lambda char: "0" if char.isdigit() else "a" if char.isalpha() else "."
-    return kind(text[run.start() - 1 : run.start()]), kind(text[run.end() : run.end() + 1])
+    start -= text[start - 1 : start] == "\n"
+    end += text[end : end + 1] == "\n"
+    return kind(text[start - 1 : start] if start else ""), kind(text[end : end + 1])
+
+
+def _recurring(text: str) -> set[str]:
+    """Phrases of the lines that recur within a text: their pieces, and their last words marked with ``*``."""
+    lines = [t for t in map(str.strip, text.split("\n")) if t]
+    if len(set(lines)) == len(lines):
+        return set()
+    found = set()
+    for line, n in Counter(lines).items():
+        if n > 1 and line[0].isalpha():
+            pieces = {p.lower() for p in _PIECES.split(line) if len(p) > 1}
+            found |= pieces | {"*" + p.split()[-1] for p in pieces if " " in p}
+    return found
 
 
 def counted(df: DataFrame, body: Column) -> DataFrame:
-    """``kind, word, n`` over all bodies: w words, c compounds, h pairs of Chinese characters, e their runs' edges, l heading lines."""
+    """``kind, word, n`` over all bodies: w words, c compounds, h pairs of Chinese characters, e their runs' edges, l heading
+    lines, r bodies within which a line recurs that is or ends with the phrase (``*`` before a last word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {kind: Counter() for kind in KINDS}
@@ -95,6 +115,7 @@ def counted(df: DataFrame, body: Column) -> DataFrame:
             tokens: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 tokens.update(text.lower().split())
+                counts["r"].update(_recurring(text))
                 if "#" in text:
                     counts["l"].update(h.strip().lower() for h in re.findall(r"(?m)^#{1,6} +(.{1,40}?)\s*$", text))
             for token, times in tokens.items():
@@ -106,7 +127,7 @@ def counted(df: DataFrame, body: Column) -> DataFrame:
                         run_ = match.group()
                         for pair in map("".join, zip(run_, run_[1:])):
                             counts["h"][pair] += times
-                        before, after = _edges(token, match)
+                        before, after = _edges(token, *match.span())
                         counts["e"][before + run_[0]] += times
                         counts["e"][run_[-1] + after] += times
                 for word in found:
@@ -123,7 +144,7 @@ def counted(df: DataFrame, body: Column) -> DataFrame:
 
 
 def model(counts: DataFrame, share: float = SHARE) -> dict[str, dict[str, int]]:
-    """The entries with at least ``share`` of their kind's counts: at most 1 / share of each of the five kinds."""
+    """The entries with at least ``share`` of their kind's counts: at most 1 / share of each kind."""
     counts = cut(counts)
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= share * F.col("total")).toArrow()
@@ -149,12 +170,15 @@ class Line:
     words: list[str] = field(default_factory=list)
 
 
+_FOLDS = str.maketrans("1i0a5cb6é9tuäöü", "llooeshee9fnoon")
+
+
 def _fold(text: str) -> str:
     """A form that misread lines share with right ones."""
-    text = re.sub(r"\s+", "", text.lower())
+    text = "".join(text.lower().split())
     for a, b in (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"), ("in", "m"), ("li", "h"), ("ﬁ", "fi"), ("ﬂ", "fl")):
         text = text.replace(a, b)
-    return text.translate(str.maketrans("1i0a5cb6é9tuäöü", "llooeshee9fnoon"[:15]))
+    return text.translate(_FOLDS)
 
 
 def _near(a: str, b: str) -> bool:
@@ -193,26 +217,56 @@ class Decoder:
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.words, self.compounds, self.pairs, self.lines = (counts[k] for k in "wchl")
         self.total = sum(self.words.values()) + 1
-        self.pair_total = sum(self.pairs.values()) + 1
         self.beside = self.pairs | counts.get("e", {})
         self.heading_least = max(4, sum(self.lines.values()) // 1000)
+        recurring = counts.get("r", {})
+        least = max(3, sum(recurring.values()) / 200)
+        self.running = {_fold(phrase) for phrase, n in recurring.items() if n >= least and phrase[0] != "*"}
+        self.houses = {phrase[1:] for phrase, n in recurring.items() if n >= least and phrase[0] == "*"}
         self.alike: dict[str, set[str]] = {}
         for group in LOOKALIKES:
             for char in group:
                 self.alike.setdefault(char, set()).update(group.replace(char, ""))
-        self.after: dict[str, list[tuple[str, int]]] = {}
-        for pair, n in self.pairs.items():
-            self.after.setdefault(pair[0], []).append((pair[1], n))
+        self.after: dict[str, dict[str, int]] = {}
+        self.before: dict[str, dict[str, int]] = {}
+        for pair, n in self.beside.items():
+            self.after.setdefault(pair[0], {})[pair[1]] = n
+            self.before.setdefault(pair[1], {})[pair[0]] = n
+        self.most_after = {char: max(found.values()) for char, found in self.after.items()}
+        self.most_before = {char: max(found.values()) for char, found in self.before.items()}
         self.fixed: dict[str, str | None] = {}
+        self.called: dict[str, str] = {}  # cleared when it is full, which changes nothing
         self.common = frozenset(w for w, n in self.words.items() if n * 2e4 >= self.total)
+        likely = [w for w, n in self.words.items() if n * 1e6 >= 3 * self.total]
+        self.prefixes = {w[:k] for w in likely for k in range(1, len(w) + 1)}
+        self.reads: dict[str, list[tuple[str, str]]] = {}
+        for read, true in CONFUSIONS:
+            self.reads.setdefault(read[0], []).append((read, true))
 
     # Furniture ------------------------------------------------------------------------------------------------------
 
     def _heading(self, text: str) -> bool:
         return self.lines.get(text.strip().lower(), 0) >= self.heading_least
 
-    def furniture(self, lines: list[Line], title: str | None, broken: int) -> int:
-        """Marks page furniture; returns how many page numbers speak for a scanned text. ``broken``: words broken at line ends."""
+    def _runs(self, text: str, folded: str) -> str:
+        """The phrase of many bodies' running lines that a line holds, even misread; empty if it holds none."""
+        pieces = _PIECES.split(text)
+        for piece in pieces:
+            f = folded if len(pieces) == 1 else _fold(piece)
+            if f in self.running:
+                return f
+            last = piece.split()[-1:]
+            if piece[:1].isupper() and " " in piece and last[0][0].isupper() and last[0].lower() in self.houses:
+                return piece
+            near = next((r for r in self.running if -3 < len(r) - len(f) < 3 and _near(f, r)), "") if len(f) > 4 else ""
+            if near:
+                return near
+        return ""
+
+    def furniture(self, lines: list[Line], title: str | None, broken: int) -> float:
+        """Marks page furniture; returns how many page seams speak for a scanned text, one half for mere hints of it.
+
+        ``broken``: other signs of a scan."""
         full = [line for line in lines if line.text.strip()]
         if not full:
             return 0
@@ -230,8 +284,8 @@ class Decoder:
                 pages[i] = (form, _value(text))
                 misread |= {i} if form == "#" and not text.isdigit() and re.search(r"[0-9]", text) else set()
                 continue
-            rest = re.sub(rf"\A{_DIGITS}\s{{2,}}|\s{{2,}}{_DIGITS}\Z", "", text)
-            bare.append(rest if 4 <= len(rest) <= 90 and not re.search(r"[.;,。；，:：]\Z", rest) else "")
+            rest = _BESIDE.sub("", text)
+            bare.append(rest if (len(rest) >= 4 or "一" <= rest[:1] <= "鿿" and len(rest) > 1) and rest[-1] not in ".;,。；，:：" else "")
             if rest != text and bare[i]:
                 pages[i] = ("beside", _value(text.replace(rest, "")))
         plain = [i for i in pages if pages[i][0] == "#"]
@@ -243,27 +297,39 @@ class Decoder:
             del pages[i]
             bare[i] = full[i].text.strip() if len(full[i].text.strip()) == 4 else ""
         same = Counter(bare)
+        if not pages and not broken and not names and len(same) - ("" in same) == len(full) - same[""]:
+            return 0  # no number, no sign, no title and no line that recurs
         near = {j for i in pages for j in range(i - 2, i + 3)} | {0, 1, last - 1, last}
-        folded = [_fold(t) if t and (i in near or same[t] > 1 or not pages and len(t) < 60) else "" for i, t in enumerate(bare)]
-
-        def likely(i: int) -> bool:
-            text, f = bare[i], folded[i]
-            if not f or self._heading(text):
-                return False
-            if len(text) < 60 and any(note in text.lower() or _near(f, _fold(note)) for note in NOTES):
-                return True
-            if len(text) < 80 and text[:1].isupper() and re.search(rf"\b{HOUSES}\Z", text):
-                return True
-            return any(_near(f, n) or len(n) > 5 and n in f and len(f) < 3 * len(n) for n in names)
-
+        widest = max(len(line.text) for line in full)
+        # Without page numbers every line that is not full may be furniture, else lines at seams and those that recur.
+        folded = [_fold(t) if t and (i in near or same[t] > 1 or not pages and len(t) < 0.8 * widest) else "" for i, t in enumerate(bare)]
+        phrases = ["" if not f or self._heading(t) else self._runs(t, f) for f, t in zip(folded, bare)]
+
+        def named(i: int) -> bool:
+            """Whether a line is the title, perhaps with something beside it."""
+            f = folded[i]
+            return bool(f) and any(_near(f, n) or len(n) > 5 and n in f and len(f) < 3 * len(n) for n in names) and not self._heading(bare[i])
+
+        told = [bool(phrase) or named(i) for i, phrase in enumerate(phrases)]
+        likely = told.__getitem__
+        if not pages and not broken and not any(told):
+            return 0  # only such lines could speak for a scan
         around = lambda i: (j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j <= last)
         exact = Counter(f for f, t in zip(folded, bare) if f and not self._heading(t))
         at_seam = {j for i in pages for j in around(i)} | {0, 1, last - 1, last} & set(range(last + 1))
         groups: list[list[int]] = []
+        homes: dict[str, list[int]] = {}
         for i in sorted(i for i in range(last + 1) if folded[i] and exact[folded[i]] and (i in at_seam or i in pages or exact[folded[i]] > 1)):
-            home = next((g for g in groups if _near(folded[g[0]], folded[i])), None)
-            groups.append([i]) if home is None else home.append(i)
+            home = homes.get(folded[i]) or next((g for g in groups if _near(folded[g[0]], folded[i])), None)
+            if home is None:
+                home = []
+                groups.append(home)
+            home.append(i)
+            homes[folded[i]] = home
         again = {i: len(g) for g in groups for i in g}
+        for phrase, n in Counter(p for p in phrases if p).items():
+            for i in (i for i in range(last + 1) if n > 1 and phrases[i] == phrase):
+                again[i] = max(again.get(i, 0), n)
         by_form: dict[str, list[int]] = {}
         for i, (form, _) in pages.items():
             by_form.setdefault(form, []).append(i)
@@ -275,29 +341,45 @@ class Decoder:
             counting = bool(steps) and apart and sum(0 < x <= 2 for x in steps) * 2 >= len(steps)
             for i in at:
                 helped = any(likely(j) or again.get(j, 0) > 1 for j in around(i) if j not in pages)
-                told = form not in ("#", "beside") or counting
+                counted_ = form not in ("#", "beside") or counting
                 if form == "beside" and not (again.get(i, 0) > 1 or likely(i)):
                     continue
-                if told and (counting or helped or len(at) == 1) or helped and len(at) == 1 or form not in ("#", "beside") and broken:
+                if counted_ and (counting or helped or len(at) == 1) or helped and len(at) == 1 or form not in ("#", "beside") and broken:
                     full[i].furniture = True
                     seams += 1
-        if not seams and not broken:
+        marked = {i for i in range(last + 1) if full[i].furniture}
+
+        def cuts(i: int) -> bool:
+            """Whether the line cuts a sentence: what stands before it, other furniture apart, does not end one."""
+            before = next((full[j].text for j in range(i - 1, -1, -1) if j not in marked), "")
+            return 0 < i < last and len(before) >= 0.6 * widest and bool(_OPEN(before))
+
+        cutting, size = 0, -1
+        while len(marked) > size:  # a header may stand beside a footer that only the header's page shows to be one
+            size = len(marked)
+            for i in range(last + 1) if marked or broken or again else ():
+                if i in marked or not bare[i]:
+                    continue
+                beside = bool(marked) and (i in (0, last) or any(j in marked for j in around(i)))
+                repeats = again.get(i, 0) > 1 and (told[i] or len(bare[i]) < 0.8 * widest or any(j in pages for j in around(i)))  # full lines recur by chance
+                if (told[i] or repeats) and (beside or cuts(i)) or told[i] and repeats:
+                    marked.add(i)
+                    cutting += told[i] and bare[i][0].isalpha() and cuts(i)
+        hinted = not cutting and any(i in (0, last) and phrases[i] or likely(i) and again.get(i, 0) > 1 for i in marked)
+        if not cutting and last > 2 and phrases[last]:
+            marked.add(last)
+            hinted = True
+        if not seams and not broken and not cutting and not hinted:
             for line in full:
                 line.furniture = False
             return 0
-        marked = {i for i in range(last + 1) if full[i].furniture}
-        for i, line in enumerate(full):
-            if line.furniture or not bare[i]:
-                continue
-            beside = i in (0, last) or any(j in marked for j in around(i))
-            cuts = 0 < i < last and not re.search(r"[.!?。！？:：]\Z", full[i - 1].text.strip()) and again.get(i, 0) > 1
-            if likely(i) and (beside or again.get(i, 0) > 1 or cuts) or again.get(i, 0) > 1 and (beside or cuts):
-                line.furniture = True
+        for i in marked:
+            full[i].furniture = True
         kept = {folded[i] for i in range(last + 1) if full[i].furniture and folded[i]}
         for i, line in enumerate(full):
             if kept and not line.furniture and bare[i] and not self._heading(bare[i]) and any(_near(folded[i] or _fold(bare[i]), k) for k in kept):
                 line.furniture = True
-        return seams
+        return seams + cutting + 0.5 * hinted
 
     # Words ----------------------------------------------------------------------------------------------------------
 
@@ -311,31 +393,32 @@ class Decoder:
         return self.fixed[low]
 
     def _fix(self, low: str) -> str | None:
+        """Walks the prefixes of the vocabulary along a word with up to two confusions.
+
+        One confusion needs a word 25 times as frequent, two need 120 times; short words, which meet others by chance,
+        need more.
+        """
         if len(low) < 2 or low.isdigit():
             return None
-        own = self.words.get(low, 0)
-        best: tuple[float, str] | None = None
-        layer = {low: 0}
-        for depth in (1, 2):
-            grown: dict[str, int] = {}
-            for form in layer:
-                for read, true in CONFUSIONS:
-                    at = form.find(read)
-                    while at >= 0:
-                        other = form[:at] + true + form[at + len(read) :]
-                        if other not in layer:
-                            grown[other] = depth
-                        at = form.find(read, at + 1)
-            for other in grown:
-                n = self.words.get(other, 0)
-                if n * 1e6 >= 3 * self.total and n >= (25 if depth == 1 else 120) * (own + 1) and (len(low) > 3 or n >= 200 * (own + 1)):
-                    score = n / 30 ** (depth - 1)
-                    if best is None or score > best[0]:
-                        best = (score, other)
-            if best or len(low) < 5:
-                break
-            layer = grown if len(grown) < 400 else {}
-        return best[1] if best else None
+        own = self.words.get(low, 0) + 1
+        best: list[tuple[int, str] | None] = [None, None, None]
+        walk = [(0, "", 0)]
+        while walk:
+            i, prefix, edits = walk.pop()
+            if i == len(low):
+                n = self.words.get(prefix, 0)
+                least = (0, 25, 120)[edits] if len(low) > 4 else (0, 25, 3600)[edits] if len(low) == 4 else (0, 200, 6000)[edits]
+                if edits and prefix != low and n * 1e6 >= 3 * self.total and n >= least * own and (best[edits] is None or (n, prefix) > best[edits]):
+                    best[edits] = (n, prefix)
+                continue
+            if prefix + low[i] in self.prefixes:
+                walk.append((i + 1, prefix + low[i], edits))
+            if edits < 2:
+                for read, true in self.reads.get(low[i], ()):
+                    if prefix + true in self.prefixes and low.startswith(read, i):
+                        walk.append((i + len(read), prefix + true, edits + 1))
+        found = best[1] or best[2]
+        return found[1] if found else None
 
     def known(self, word: str) -> int:
         return self.words.get(word.lower(), 0)
@@ -367,175 +450,225 @@ class Decoder:
         right = fixed.capitalize() if bit[0].isupper() else fixed
         return [own, (min(self._cost(right) + 1.0, own[0] - 0.1), right)]
 
-    def segment(self, text: list[Line], names: Counter) -> list[tuple[str, list[tuple[int, int, str]], str]]:
-        """The cheapest path through the stream of tokens: (kind, tokens, word) of each step that changes something.
+    # The lattice ----------------------------------------------------------------------------------------------------
+
+    def _nodes(self, text: str) -> list[tuple[int, int, str, str]]:
+        """The places where arcs start: (start, end, characters, what lies before the next one) of words and Chinese runs.
 
-        Tokens are (line, position, text). A step takes one token as it is or misread (``char``) or as two words that
-        lost their blank (``split``), or two tokens that a hyphen at a line's end (``hyphen``) or a stray blank or line
-        end (``merge``) keeps apart. A broken word may be misread as well.
+        Between words lies a ``blank``, a ``line`` end, a ``hyphen`` with a line end, or what keeps them ``apart``. Words of
+        lines that hold nothing but common words can only stand as they are, and are left out.
         """
-        tokens: list[tuple[int, int, str]] = []
-        glue: list[str] = []
-        for at, line in enumerate(text):
-            if self.common.issuperset(_PLAIN(line.text.lower())) and not _broken(line.text) and not (at and _broken(text[at - 1].text)):
-                if glue:
-                    glue[-1] = "apart"
-                continue
-            end = 0
-            for match in _TOKEN(line.text):
-                between = line.text[end : match.start()]
-                if tokens and glue[-1] == "":
-                    glue[-1] = "blank" if end and between == " " else "apart"
-                elif tokens and glue[-1] == "line":
-                    glue[-1] = "hyphen" if _broken(text[tokens[-1][0]].text) and not between.strip() and tokens[-1][0] == at - 1 else "line" if not between.strip() and tokens[-1][0] == at - 1 else "apart"
-                tokens.append((at, match.start(), match.group()))
-                glue.append("")
-                end = match.end()
-            if glue and tokens[-1][0] == at:
-                rest = line.text[end:].strip()
-                glue[-1] = "line" if not rest or _broken(line.text) and len(rest) == 1 else "apart"
-        best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")] + [(math.inf, 0, "", "")] * len(tokens)
-
-        def offer(end: int, cost: float, start: int, kind: str, word: str) -> None:
+        nodes: list[tuple[int, int, str, str]] = []
+        start = 0
+        rows = text.split("\n")
+        for at, row in enumerate(rows):
+            if not self.common.issuperset(_PLAIN(row.lower())) or _broken(row) or at and _broken(rows[at - 1]):
+                for match in _TOKEN(row):
+                    nodes.append((start + match.start(), start + match.end(), match.group(), "apart"))
+            start += len(row) + 1
+        for k in range(len(nodes) - 1):
+            first, end, bit, _ = nodes[k]
+            between = text[end : nodes[k + 1][0]]
+            if between == " ":
+                nodes[k] = (first, end, bit, "blank")
+            elif between.strip(" ") == "\n":
+                nodes[k] = (first, end, bit, "line")
+            elif between[:1] in _HYPHENS and between[1:].strip(" ") == "\n" and between.count("\n") == 1:
+                nodes[k] = (first, end, bit, "hyphen" if _broken(text[text.rfind("\n", 0, end) + 1 : end + 1]) else "apart")
+        runs = [(m.start(), m.end(), m.group(), "apart") for m in _HAN_RUN.finditer(text)]
+        return sorted(nodes + runs) if runs else nodes
+
+    def segment(self, text: str, names: Counter) -> list[tuple[int, int, str, str]]:
+        """The cheapest path through the lattice over a stream: (start, end, kind, what stands there) of its changes.
+
+        Lines are kept apart by line ends, which words and Chinese runs cross. An arc takes a word as it is or misread
+        (``char``), as two words that lost their blank (``split``), or goes on over stray blanks and line ends
+        (``merge``) and hyphens at line ends (``hyphen``; a broken word may be misread as well). In a Chinese run every
+        character is an arc, and its state is the character that it is read as.
+        """
+        nodes = self._nodes(text)
+        seen = self._seen(text, nodes)
+        best: list[tuple[float, int, list]] = [(0.0, 0, [])] + [(math.inf, 0, [])] * len(nodes)
+
+        def offer(end: int, cost: float, start: int, *changes: tuple[int, int, str, str]) -> None:
             if cost < best[end][0]:
-                best[end] = (cost, start, kind, word)
+                best[end] = (cost, start, list(changes))
 
-        for i, (at, _, bit) in enumerate(tokens):
+        for i, (start, end, bit, glue) in enumerate(nodes):
             base = best[i][0]
+            if "一" <= bit[0] <= "鿿":
+                offer(i + 1, base, i, *self._likeliest(text, start, end, seen))
+                continue
             if bit.lower() in self.common:
-                offer(i + 1, base + self._cost(bit), i, "", bit)
+                offer(i + 1, base + self._cost(bit), i)
             else:
                 for cost, word in self._readings(bit, names):
-                    offer(i + 1, base + cost, i, "char" if word != bit else "", word)
-                if not self.known(bit) and len(bit) >= 6 and bit.isalpha():
+                    offer(i + 1, base + cost, i, *([(start, end, "char", word)] if word != bit else []))
+                if not self.known(bit) and bit.isalpha():
                     for k in range(3, len(bit) - 2):
                         if bit[:k].lower() in self.common and bit[k:].lower() in self.common:
-                            offer(i + 1, base + self._cost(bit[:k]) + self._cost(bit[k:]) + 6.0, i, "split", bit[:k] + " " + bit[k:])
-            if i + 1 == len(tokens) or glue[i] == "apart":
-                continue
-            after = tokens[i + 1][2]
-            whole = bit + after
-            if glue[i] == "hyphen" and after[:1].isalpha():
-                before = text[at].text[: _broken(text[at].text).end(1)]
-                if self._hyphenated(before, bit, after):
-                    apart = min(self._cost(bit), self._cost(bit.lower())) + self._cost(after)
+                            offer(i + 1, base + self._cost(bit[:k]) + self._cost(bit[k:]) + 6.0, i, (start, end, "split", bit[:k] + " " + bit[k:]))
+            whole, price, kind, least, parts, j = bit, 0.0, "merge", self.known(bit), [bit], i
+            while glue != "apart" and j + 1 < len(nodes):
+                after = nodes[j + 1][2]
+                if glue == "hyphen":
+                    if not (after[:1].isalpha() and (j > i or self._hyphenated(text[text.rfind("\n", 0, end) + 1 : end], bit, after))):
+                        break
+                    kind = "hyphen"
+                else:
+                    price += 5.0 if glue == "blank" else 8.0
+                whole, j = whole + after, j + 1
+                parts.append(after)
+                least = min(least, self.known(after))
+                apart = sum(min(self._cost(part), self._cost(part.lower())) for part in parts)
+                if kind == "hyphen" and j == i + 1:
                     for cost, word in self._readings(whole, names):
-                        offer(i + 2, base + min(cost, apart - 0.1), i, "hyphen", word)
-            elif glue[i] in ("blank", "line") and self.known(whole) > 20 * max(1, min(self.known(bit), self.known(after))) and min(len(bit), len(after)) > 1:
-                offer(i + 2, base + self._cost(whole) + (5.0 if glue[i] == "blank" else 8.0), i, "merge", whole)
-        steps, end = [], len(tokens)
-        while end:
-            _, start, kind, word = best[end]
-            if kind:
-                steps.append((kind, tokens[start:end], word))
-            end = start
-        return steps[::-1]
-
-    def han(self, text: str) -> list[tuple[int, str]]:
-        """(position, right character) of the misread Chinese characters of a stream without line ends and stray blanks.
-
-        The likeliest path through each run, its edges included: a character is itself, one that looks like it, or one
-        that the neighbours on both sides call for; what is called for within runs of this text may stand at edges too.
-        """
-        runs = list(_HAN.finditer(text))
-        called = [self._called(match.group()) for match in runs]
-        seen: dict[str, set[str]] = {}
-        for match, found in zip(runs, called):
-            for i, char in found.items():
-                seen.setdefault(match.group()[i], set()).add(char)
-        out = []
-        for match, found in zip(runs, called):
-            run = match.group()
-            options = [{*self.alike.get(c, ()), *seen.get(c, ()), *([found[i]] if i in found else [])} for i, c in enumerate(run)]
-            if any(options):
-                right = self._likeliest(run, options, *_edges(text, match))
-                out += [(match.start() + i, b) for i, (a, b) in enumerate(zip(run, right)) if a != b]
-        return out
-
-    def _called(self, run: str) -> dict[int, str]:
-        """The characters within a run that stand beside neither neighbour elsewhere, and what stands there instead."""
-        out = {}
-        low, high = self.pair_total * 2e-5 + 2, self.pair_total * 4e-5 + 2
-        get = self.pairs.get
-        for i in range(1, len(run) - 1):
-            left = get(run[i - 1 : i + 1], 0)
-            if left > low:
-                continue
-            right = get(run[i : i + 2], 0)
-            if right > low:
-                continue
-            before, after, least = run[i - 1], run[i + 1], max(high, 15 * (max(left, right) + 1))
+                        offer(j + 1, base + min(cost, apart - 0.1), i, (start, nodes[j][1], "hyphen", word))
+                elif self.known(whole) > 20 * max(1, least) and (min(map(len, parts)) > 1 or j > i + 1):
+                    offer(j + 1, base + self._cost(whole) + price, i, (start, nodes[j][1], kind, whole))
+                if whole.lower() not in self.prefixes:
+                    break
+                glue = nodes[j][3]
+        changes, at = [], len(nodes)
+        while at:
+            _, before, found = best[at]
+            changes += found[::-1]
+            at = before
+        return changes[::-1]
+
+    # Chinese runs ---------------------------------------------------------------------------------------------------
+
+    def _call(self, left: str, char: str, right: str) -> str:
+        """The character that stands between these two ``STRANGE`` times as often as this one does, or nothing."""
+        key = left + char + right
+        if key not in self.called:
+            if len(self.called) > MEMORY:
+                self.called.clear()
+            least = (self.beside.get(left + char, 0) + 0.5) * (self.beside.get(char + right, 0) + 0.5) * math.exp(STRANGE)
             best = (0, "")
-            for other, m in self.after.get(before, ()):
-                if m >= least and other != run[i]:
-                    k = get(other + after, 0)
-                    if k >= least and min(m, k) > best[0]:
-                        best = (min(m, k), other)
-            if best[1]:
-                out[i] = best[1]
-        return out
-
-    def _likeliest(self, run: str, options: list[set[str]], before: str, after: str) -> str:
-        """The reading of a run with the greatest sum of log pair counts, less ``CHANGE`` for each changed character."""
-        get = self.beside.get
-        paths = {before: (0.0, "")}
-        for char, others in zip(run, options):
-            step = {}
-            for other in (char, *sorted(others)):
-                fee = 0.0 if other == char else CHANGE
-                step[other] = max((score + math.log(get(tail + other, 0) + 0.5) - fee, path + other) for tail, (score, path) in paths.items())
-            paths = step
-        return max((score + math.log(get(tail + after, 0) + 0.5), path) for tail, (score, path) in paths.items())[1]
+            if self.most_after.get(left, 0) * self.most_before.get(right, 0) >= least:
+                after, before = self.after[left], self.before[right]
+                small, large = (after, before) if len(after) < len(before) else (before, after)
+                for other, n in small.items():
+                    found = n * large.get(other, 0)
+                    if found >= least and other != char and "一" <= other <= "鿿" and (found, other) > best:
+                        best = (found, other)
+            self.called[key] = best[1]
+        return self.called[key]
+
+    def _seen(self, text: str, nodes: list[tuple[int, int, str, str]]) -> dict[str, set[str]]:
+        """What the characters of a text are read as between the characters of its runs: may stand at edges too."""
+        seen: dict[str, set[str]] = {}
+        called = self.called
+        for _, _, run, _ in nodes:
+            if "一" <= run[0] <= "鿿":
+                run = run.replace("\n", "")
+                for at in range(1, len(run) - 1):
+                    other = called.get(run[at - 1 : at + 2])
+                    if other is None:
+                        other = self._call(*run[at - 1 : at + 2])
+                    if other:
+                        seen.setdefault(run[at], set()).add(other)
+        return seen
+
+    def _likeliest(self, text: str, start: int, end: int, seen: dict[str, set[str]]) -> list[tuple[int, int, str, str]]:
+        """The changes on the cheapest path through a Chinese run.
+
+        Costs are those of pairs of neighbouring characters and of edges with what stands beside them. A character may be
+        itself, one that looks like it or that the same text shows in its place, or, for more, one that its neighbours call
+        for. Where there is no choice all paths go the same way, so only stretches with choices are searched.
+        """
+        run = text[start:end]
+        head, tail = _edges(text, start, end)
+        places = None
+        if "\n" in run:
+            places = [k for k in range(start, end) if text[k] != "\n"]
+            run = run.replace("\n", "")
+        alike, called = self.alike, self.called
+        options: dict[int, list[tuple[str, float]]] = {}
+        last = len(run) - 1
+        for at, char in enumerate(run):
+            others = alike.get(char)
+            if others or char in seen:
+                options[at] = [(char, 0.0), *((other, CHANGE) for other in sorted({*(others or ()), *seen.get(char, ())} - {char}))]
+            if 0 < at < last:
+                found = called.get(run[at - 1 : at + 2])
+                if found is None:
+                    found = self._call(run[at - 1], char, run[at + 1])
+                if found and all(found != other for other, _ in options.get(at, ())):
+                    options.setdefault(at, [(char, 0.0)]).append((found, STRANGE))
+        changes = []
+        get, log = self.beside.get, math.log
+        begun: dict[str, tuple[float, tuple]] | None = None
+        for at in sorted(options):
+            if begun is None or at - 1 not in options:
+                begun = {run[at - 1] if at else head: (0.0, ())}
+            step: dict[str, tuple[float, tuple]] = {}
+            for other, fee in options[at]:
+                cost, path = min(((cost - log(get(before + other, 0) + 0.5), path) for before, (cost, path) in begun.items()), key=lambda x: x[0])
+                step[other] = (cost + fee, (path, at, other) if fee else path)
+            begun = step
+            if at + 1 not in options:
+                after = run[at + 1] if at < last else tail
+                path = min(((cost - log(get(before + after, 0) + 0.5), path) for before, (cost, path) in begun.items()), key=lambda x: x[0])[1]
+                found = []
+                while path:
+                    path, k, other = path
+                    place = places[k] if places else start + k
+                    found.append((place, place + 1, "char", other))
+                changes += found[::-1]
+        return changes
 
     # The whole text -------------------------------------------------------------------------------------------------
 
     def decode(self, body: str, first: int, title: str | None, repair: bool = True) -> tuple[list[tuple[int, str]], str] | None:
         """(line number, kind) of each noisy line, and the repaired text if asked for; None if the text was not scanned."""
         marked = sum(PLAINLY if m.group(1) else not PAGE.fullmatch(m.group().strip()) for m in _MARKDOWN(body))
-        lines = [Line(first + i, t.rstrip("\r")) for i, t in enumerate(body.split("\n"))]
-        if marked and marked > sum(bool(_broken(line.text) or _NUMBERED(line.text.strip())) for line in lines):
+        rows = [t.rstrip("\r") for t in body.split("\n")]
+        stray = 0 if body.isascii() else len(_STRAY.findall(body))
+        if stray:
+            stray = sum(len(_STRAY.findall(row)) for row in rows if "  " not in row.strip() and "|" not in row)
+        stray = stray if stray > 1 else 0
+        if marked > stray + len(rows):
             return None  # more than its seams can be
+        lines = [Line(first + i, row) for i, row in enumerate(rows)]
         broken = 0
         for line, after in zip(lines, lines[1:]) if _BROKEN(body) else ():
             cut_ = _broken(line.text)
             start = _LETTERS.match(after.text.strip()) if cut_ else None
             broken += bool(start and self.known(cut_.group(1) + start.group()))
-        seams = self.furniture(lines, title, broken)
-        if marked > seams + broken:
+        seams = self.furniture(lines, title, broken + stray)
+        if marked > seams + broken + stray or not (seams or broken or stray or _BROKEN(body)):
             return None
         text = [line for line in lines if not line.furniture and line.text.strip()]
         names = Counter(w for line in text for w in _WORD.findall(line.text) if w[0].isupper())
-        joins: dict[int, str] = {}
-        fixes: dict[int, list[tuple[int, str, str]]] = {}
-        for kind, tokens, word in self.segment(text, names):
-            at, place, bit = tokens[0]
+        rows = [_SPACED.sub("", line.text.strip()) for line in text]
+        widest = max(map(len, rows), default=0)
+        # A Chinese line that is not full ends there; the mark after it keeps its run apart from the next one.
+        rows = [row + "\x1f" if "一" <= row[-1:] <= "鿿" and len(row) < 0.7 * widest else row for row in rows]
+        stream = "\n".join(rows)
+        changes = self.segment(stream, names)
+        owner = [at for at, row in enumerate(rows) for _ in range(len(row) + 1)]
+        joined = 0
+        for start, end, kind, word in changes:
+            at = owner[start]
             if kind == "hyphen":
+                joined += 1
                 text[at].kinds.add("hyphen")
-                joins[at] = word
-                whole = bit + tokens[1][2]
+                left = stream[start:end].split("\n")[0].rstrip("".join(_HYPHENS) + " ")
+                whole = "".join(match.group() for match in _TOKEN(stream[start:end]))
                 if word.lower() != whole.lower():
                     differs = next((k for k, (x, y) in enumerate(zip(whole.lower(), word.lower())) if x != y), len(word))
-                    text[tokens[0 if differs < len(bit) else 1][0]].kinds.add("char")
+                    text[at if differs < len(left) else owner[end - 1]].kinds.add("char")
             elif kind == "char":
                 text[at].kinds.add("char")
-                fixes.setdefault(at, []).append((place, bit, word))
-            elif kind == "split" or kind == "merge" and tokens[1][0] == at:
-                fixes.setdefault(at, []).append((place, " ".join(t[2] for t in tokens), word))
-        if not seams and not joins:
+        if not seams and not joined and not stray:
             return None
-        stream, owner = [], []
-        for at, line in enumerate(text):
-            content = re.sub(r"(?<=[一-鿿，。；：、])[ \t]+|[ \t]+(?=[一-鿿，。；：、])", "", line.text.strip())
-            stream += content
-            owner += [at] * len(content)
-        for place, char in self.han("".join(stream)):
-            text[owner[place]].kinds.add("char")
-            stream[place] = char
-        if seams == 0 and len(joins) + sum("char" in line.kinds for line in text) < 2:
+        if seams < 1 and joined + stray + sum("char" in line.kinds for line in text) < 2:
             return None
         noise = [(line.number, "furniture") for line in lines if line.furniture]
         noise += [(line.number, kind) for line in text for kind in line.kinds]
-        return sorted(noise), self._repaired(lines, text, fixes, joins, stream, owner) if repair else ""
+        return sorted(noise), self._repaired(lines, text, stream, changes) if repair else ""
 
     def _hyphenated(self, before: str, left: str, right: str) -> bool:
         """Whether a hyphen at a line's end only breaks a word; a compound keeps its hyphen anyway."""
@@ -554,21 +687,15 @@ class Decoder:
             return False
         return not (self.known(left) * 1e5 >= self.total and self.known(right) * 1e5 >= self.total and len(left) > 2)
 
-    def _repaired(self, lines: list[Line], text: list[Line], fixes: dict, joins: dict, stream: list[str], owner: list[int]) -> str:
+    def _repaired(self, lines: list[Line], text: list[Line], stream: str, changes: list[tuple[int, int, str, str]]) -> str:
         """The text without furniture and line ends, words repaired, in paragraphs."""
-        parts = [""] * len(text)
-        for at, char in zip(owner, stream):
-            parts[at] += char
-        for at, found in fixes.items():
-            for _, word, right in found:
-                parts[at] = re.sub(rf"(?<![^\W_]){re.escape(word)}(?![^\W_])", lambda m, right=right: right, parts[at], count=1)
-        for at in sorted(joins):
-            start = _WORD.match(parts[at + 1])
-            broken = _broken(parts[at])
-            if start and broken:
-                tail = re.match(r"[^’']+", start.group()).end()
-                parts[at] = parts[at][: broken.start(1)] + joins[at] + parts[at + 1][tail : start.end()]
-                parts[at + 1] = parts[at + 1][start.end() :].lstrip() if not re.match(r"[.,;:!?)]", parts[at + 1][start.end() :]) else parts[at + 1][start.end() :]
+        parts, at = [], 0
+        for start, end, _, word in changes:
+            ends = stream.count("\n", start, end)
+            tail = re.match(r"[’'][^\W_]+|[.,;:!?)»”’]+", stream[end:]) if ends else None  # what belongs to the joined word
+            parts += [stream[at:start], word, tail.group() if tail else "", "\n" * ends]
+            at = end + (tail.end() if tail else 0)
+        rows = [row.strip() for row in "".join([*parts, stream[at:]]).replace("\x1f", "").split("\n")]
         gaps = []
         position = {line.number: k for k, line in enumerate(text)}
         blank, seam = False, False
@@ -581,36 +708,38 @@ class Decoder:
                 seam = True
             else:
                 blank = True
-        paragraphs = self._paragraphs(parts, gaps)
-        return "\n\n".join(self._flow(parts[a:b]) for a, b in paragraphs)
+        paragraphs = self._paragraphs(rows, gaps)
+        return "\n\n".join(self._flow(rows[a:b]) for a, b in paragraphs)
 
     def _paragraphs(self, parts: list[str], gaps: list[tuple[bool, bool]]) -> list[tuple[int, int]]:
-        """The cheapest segmentation of the lines: breaks belong at blank lines after sentences and beside headings."""
+        """The cheapest segmentation of the lines: breaks belong at blank lines after sentences and beside headings.
+
+        The state is whether the paragraph is still its first line: one line that ends no sentence is no paragraph unless
+        it is a heading. Every gap is decided in the light of all others, at whatever distance.
+        """
         n = len(parts)
         widest = max(map(len, parts), default=1) or 1
         ended = [re.search(r"[.!?。！？:：…”»)]\Z", p.strip()) is not None for p in parts]
-        head = [self._heading(p) or (len(p) < widest * 0.6 and not ended[i] and p[:1].isupper() and self._heading(p.strip())) for i, p in enumerate(parts)]
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
-        for end in range(1, n + 1):
-            inside = 0.0
-            for start in range(end - 1, max(-1, end - 400), -1):
-                cost = inside
-                if start:
-                    blank, seam = gaps[start - 1]
-                    soft = ended[start - 1] and (blank or len(parts[start - 1]) < 0.7 * widest)
-                    cost += 0.2 if head[start - 1] or head[start] else 0.3 if soft and not seam else 1.5 if soft else 3.0 if blank and not seam else 5.0
-                total = best[start][0] + cost + 0.4 + 0.002 * (end - start)
-                if total < best[end][0]:
-                    best[end] = (total, start)
-                if start:
-                    blank, seam = gaps[start - 1]
-                    inside += 3.0 if head[start - 1] or head[start] else 2.0 if blank and ended[start - 1] and not seam else 1.0 if blank and not seam else 0.0
-        out, end = [], n
-        while end:
-            start = best[end][1]
-            out.append((start, end))
-            end = start
-        return out[::-1]
+        head = [self._heading(p) for p in parts]
+        alone = [0.0 if head[i] or ended[i] else 0.8 for i in range(n)]
+        paths: dict[bool, tuple[float, tuple]] = {True: (0.0, ())}
+        for at in range(1, n):
+            blank, seam = gaps[at - 1]
+            beside = head[at - 1] or head[at]
+            soft = ended[at - 1] and (blank or len(parts[at - 1]) < 0.7 * widest)
+            apart = 0.4 + (0.2 if beside else 0.3 if soft and not seam else 1.5 if soft else 3.0 if blank and not seam else 5.0)
+            together = 3.0 if beside else 2.0 if blank and ended[at - 1] and not seam else 1.0 if blank and not seam else 0.0
+            fees = {state: cost + (alone[at - 1] if state else 0.0) for state, (cost, _) in paths.items()}
+            state = min(fees, key=lambda s: (fees[s], s))
+            longer = min(paths, key=lambda s: (paths[s][0], s))
+            paths = {True: (fees[state] + apart, (paths[state][1], at)), False: (paths[longer][0] + together, paths[longer][1])}
+        path = min(paths.items(), key=lambda x: (x[1][0] + (alone[-1] if x[0] and n else 0.0), x[0]))[1][1] if n else ()
+        cuts = []
+        while path:
+            path, at = path
+            cuts.append(at)
+        bounds = [0, *cuts[::-1], n]
+        return [(a, b) for a, b in zip(bounds, bounds[1:]) if b > a]
 
     @staticmethod
     def _flow(parts: list[str]) -> str:
@@ -622,7 +751,7 @@ class Decoder:
 
 
 def _decoded(df: DataFrame, key: str, counts: dict[str, dict[str, int]], schema: str, rows_of, repair: bool) -> DataFrame:
-    """Runs the decoder over the suspects of ``df`` (``key, body, first, title``) and yields ``rows_of`` each result."""
+    """Runs the decoder over all of ``df`` (``key, body, first, title``) and yields ``rows_of`` each result."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
     names = [part.split()[0].strip("`") for part in schema.split(",")]
 
@@ -639,7 +768,7 @@ def _decoded(df: DataFrame, key: str, counts: dict[str, dict[str, int]], schema:
                 arrays = [pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.int32()) if isinstance(c[0], int) else pa.array(c, pa.string()) for c in columns[1:])]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.filter(F.col("body").rlike(SUSPECT)).select(key, "body", "first", "title").mapInArrow(run, schema)
+    return df.filter("body != ''").select(key, "body", "first", "title").mapInArrow(run, schema)
 
 
 def noise(df: DataFrame, key: str, counts: dict[str, dict[str, int]]) -> DataFrame:

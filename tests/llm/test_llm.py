@@ -373,9 +373,39 @@ def test_misread_characters_at_the_edges_of_chinese_runs(spark):
     counts = scanned.model(scanned.counted(spark.createDataFrame([(plain,)], "body string"), F.col("body")))
     decoder = scanned.Decoder(counts)
     for right, read in [("。本章说明", "。木章说明"), ("文件12页。", "文件12贞。"), ("知识库。评", "知识厍。评"), ("评审时间超", "评宙时问超"), ("文件12页。", "丈仵12贞。")]:
-        assert "".join(right[i] if dict(decoder.han(read)).get(i) == right[i] else c for i, c in enumerate(read)) == right
-        assert {i for i, _ in decoder.han(read)} == {i for i, c in enumerate(read) if c != right[i]}
-    assert decoder.han(plain) == []
+        changed = {start: word for start, _, _, word in decoder.segment(read, Counter())}
+        assert "".join(changed.get(i, c) for i, c in enumerate(read)) == right
+        assert set(changed) == {i for i, c in enumerate(read) if c != right[i]}
+    assert decoder.segment(plain, Counter()) == []
+
+
+def chinese(spark, footers=40):
+    plain = "本章说明成本模型与知识库。评审时间超过8页，文件12页。人名入库，负责人在。发布经理认为链接检查在预发布环境中的积压量不应超过。"
+    bodies = [(plain * 40,)] * 20 + [("内部资料\n" + plain + "\n内部资料\n" + plain,)] * footers
+    return scanned.Decoder(scanned.model(scanned.counted(spark.createDataFrame(bodies, "body string"), F.col("body"))))
+
+
+def test_chinese_scan_without_page_numbers(spark):
+    lines = ["本章说明成 本模型与知识库。评审时间", "超过8页，文件12页。人名入库，负责人", "内部资料", "在。发市经理认为链接 检查在预发布环境", "中的积压量不应超过。本章说明成本模型", "内部资料", "与知 识库。评审时间超过8页，丈件12", "页。人名入库，负责人在。"]
+    noise, text = chinese(spark).decode("\n".join(lines), 1, None)
+    assert noise == [(3, "furniture"), (4, "char"), (6, "furniture"), (7, "char")]
+    assert "负责人在。发布经理认为链接检查" in text and "内部资料" not in text and "文件12页" in text
+    assert chinese(spark).decode("\n".join(lines[3:5]).replace(" ", ""), 1, None) is None  # slips outside scans are none
+
+
+def test_furniture_has_no_length_limit(model):
+    long = "Mirror Archive of every nightly report and every customer portal of the records office and of the second audit of the week"
+    noise, _ = scanned.Decoder(model).decode(scan().replace("Mirror Archive", long), 1, None)
+    assert sum(kind == "furniture" for _, kind in noise) == 6
+
+
+def test_words_go_on_over_several_gaps_and_paragraphs_over_many_lines(model):
+    decoder = scanned.Decoder(model)
+    changes = decoder.segment("every mis sing image and the trans-\nlate of a cus to mer portal", Counter())
+    assert [(kind, word) for _, _, kind, word in changes] == [("merge", "missing"), ("hyphen", "translate"), ("merge", "customer")]
+    body = "\n".join("every missing image of the nightly report and of" for _ in range(900))
+    assert decoder._paragraphs(body.split("\n"), [(False, False)] * 899) == [(0, 900)]
+    assert decoder._paragraphs(["The audit is taken."] * 3, [(True, False)] * 2) == [(0, 1), (1, 2), (2, 3)] and decoder._paragraphs([], []) == []
 
 
 def test_misread_bare_page_numbers_and_headers(model):
