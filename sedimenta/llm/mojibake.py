@@ -40,13 +40,16 @@ GAIN_TEXT = 6.0
 #: Tokens that a worker remembers before it starts afresh: a bound on memory without effect on results.
 MEMORY = 300_000
 LOST = "�"
+_LOSSY = re.compile(rf"((?:[^\W\d_]|{LOST})+)")
 
 #: Symbols that right texts have between letters; any other symbol beyond ASCII there belongs to the word.
 _BETWEEN = "’‘“”–—…‑·•«»/"
 _LETTER = r"(?:(?![一-鿿])[^\W\d_])"
 _PARTS = re.compile(rf"[一-鿿]+|{_LETTER}+(?:(?:(?![{_BETWEEN}])[^\w\s\x00-\x7f])+{_LETTER}+)*|[^\w\s]").findall
 _TOKENS = re.compile(r"[^ \t\r\n]+").findall
-_QUOTED = re.compile(r"“[^“”\n]{1,24}”|\"[^\"\n]{1,24}\"|`[^`\n]{1,24}`|(?<![^\s(])«[^«»\n]{1,24}»(?![^\s.,;:!?)])|„[^„“”\n]{1,24}[“”]|‘[^‘’\n]{1,24}’|「[^「」\n]{1,24}」|'[^'\n ]{1,24}'")
+#: Characters up to which a garbled sequence in quotation marks is a quotation; a longer one is a garbled part of the text.
+QUOTE = 24
+_QUOTED = re.compile(r"“[^“”\n]{1,%s}”|\"[^\"\n]{1,%s}\"|`[^`\n]{1,%s}`|(?<![^\s(])«[^«»\n]{1,%s}»(?![^\s.,;:!?)])|„[^„“”\n]{1,%s}[“”]|‘[^‘’\n]{1,%s}’|「[^「」\n]{1,%s}」|'[^'\n ]{1,%s}'".replace("%s", str(QUOTE)))
 
 
 #: A symbol stuck between letters, which no right reading has.
@@ -137,7 +140,7 @@ class Channel:
         self.floor = math.log(0.3 / self.total)
         self.writers = _writers()
         self.known: dict[str, tuple[float, str | None, str]] = {}
-        self.patterns: dict[tuple[int, str], list[str]] | None = None
+        self.patterns: dict[str, list[str]] | None = None
         self.fitting: dict[str, dict[tuple, list[str]]] = {}
         self.preceding: dict[str, dict[str, int]] | None = None
         self.chars: Counter[str] = Counter()
@@ -198,7 +201,8 @@ class Channel:
     def _viterbi(self, data: list[int | None], right: str) -> str | None:
         """Best path through the byte lattice; a wildcard stands for a lost byte or two, a stray byte stays lost."""
         if right not in ("utf-8", "gbk", "big5"):
-            return None
+            text = "".join(LOST if byte is None else bytes([byte]).decode(right, "replace") for byte in data)
+            return "".join(self._wild(part) or part for part in _LOSSY.split(text))
         fits = self._fits(right)
         size, spoilt = len(data), 1.5 * self.floor
         states: dict[int, dict[str, tuple[float, str]]] = {0: {"": (0.0, "")}}
@@ -270,19 +274,35 @@ class Channel:
         return self.fitting[right]
 
     def _wild(self, word: str) -> str | None:
-        """The most frequent word of the model that fits a word with lost characters."""
+        """The likeliest word of the model that fits a word with lost characters; None if none does.
+
+        A mark stands for one lost character or two. Words are independent of each other in the model, so the likeliest
+        path through a token is that of its words.
+        """
+        if LOST not in word or len(word) < 2:
+            return None
         if self.patterns is None:
             self.patterns = {}
             for known, n in sorted(self.model.items(), key=lambda x: (-x[1], x[0])):
-                if len(known) < 2 or "一" <= known[0] <= "鿿":
-                    continue
-                shape = "".join(c if c.isascii() else LOST for c in known)
-                self.patterns.setdefault((len(shape), shape), []).append(known)
-        fits = self.patterns.get((len(word), word.lower()))
-        if not fits:
+                if len(known) > 1 and not "一" <= known[0] <= "鿿":
+                    shape = "".join(c if c.isascii() else LOST for c in known)
+                    self.patterns.setdefault(shape, []).append(known)
+        low, best = word.lower(), None
+        for extra in range(low.count(LOST) + 1):
+            at = [k for k, c in enumerate(low) if c == LOST]
+            longer = low
+            for k in at[:extra][::-1]:
+                longer = longer[:k] + LOST + longer[k:]
+            shape = "".join(c if c.isascii() else LOST for c in longer)
+            for known in self.patterns.get(shape, ()):
+                if all(a in (LOST, b) for a, b in zip(longer, known)):
+                    if best is None or self.model[known] > 30**extra * self.model[best[1]]:
+                        best = (longer, known)
+                    break  # the others are rarer
+        if best is None:
             return None
-        best = fits[0]
-        return "".join(b.upper() if a.isupper() or a == LOST and word.isupper() else b for a, b in zip(word, best))
+        cased = word if len(best[1]) == len(word) else best[0]
+        return "".join(b.upper() if a.isupper() or a == LOST and word.isupper() else b for a, b in zip(cased, best[1]))
 
     def undo(self, token: str) -> tuple[float, str | None, str]:
         """(gain in nats, channel or None, restored token) of the best explanation of a token with characters beyond ASCII."""
@@ -303,8 +323,8 @@ class Channel:
         for wrong, right in CHANNELS:
             if han and right not in ("utf-8", "gbk", "big5"):  # one-byte encodings don't give runs of these
                 continue
-            text = token
-            for _ in range(2):
+            text, before = token, -math.inf
+            while True:  # the gain grows from layer to layer, or it ends
                 table = self.writers.get(wrong)
                 if table is not None and text is token and head not in table and head != LOST:
                     break
@@ -320,17 +340,14 @@ class Channel:
                     spoilt = spoilt or missing > 0 or not words or _STUCK(read) is not None
                 if not spoilt and not lost and all(c.isalnum() or c < "\x80" for c in token):  # symbols don't come from letters, but for those of three bytes in UTF-8
                     spoilt = any(c >= "\x80" and not c.isalnum() and (right != "utf-8" or c < "\u2000") for c in read)
-                if words and missing * 6 <= words and not spoilt:
-                    gain = score - own - 1.0
-                    if gain > best[0]:
-                        best = (gain, f"{right} read as {wrong}", read)
-                if right != "utf-8":
+                gain = score - own - 1.0
+                if words and missing * 6 <= words and not spoilt and gain > best[0]:
+                    best = (gain, f"{right} read as {wrong}", read)
+                if right != "utf-8" or gain <= before:
                     break
-                text = read
+                text, before = read, gain  # perhaps decoded wrongly more than once
         if lost and best[1] is None:
-            parts = re.split(rf"((?:[^\W\d_]|{LOST})+)", token)
-            fixed = [self._wild(p) or p if LOST in p and len(p) > 1 else p for p in parts]
-            text = "".join(fixed)
+            text = "".join(self._wild(part) or part for part in _LOSSY.split(token))
             best = (GAIN_LOST, "bytes lost", text)
         return best
 
@@ -344,7 +361,7 @@ def _told(line: str, token: str, restored: str) -> bool:
     """Whether a line that holds a garbled token names its right form beside it: then it speaks about the token."""
     core, plain = token.strip(".,;:!?()[]，。；："), restored.strip(".,;:!?()[]，。；：")
     rest = line.replace(core, " ", 1)
-    return plain != "" and len(core) <= 24 and re.search(rf"(?<!\w){re.escape(plain)}(?!\w)", rest) is not None
+    return plain != "" and re.search(rf"(?<!\w){re.escape(plain)}(?!\w)", rest) is not None
 
 
 class Restorer:
@@ -365,7 +382,7 @@ class Restorer:
             if line.isascii():
                 out.append(line)
                 continue
-            bare = _QUOTED.sub(lambda m: " " * len(m.group()) if len(m.group()) < 27 else m.group(), line)
+            bare = _QUOTED.sub(lambda m: " " * len(m.group()), line)
             fixed, at = [], 0
             for match in re.finditer(r"[^ \t\r\n]+", bare):
                 token = match.group()
