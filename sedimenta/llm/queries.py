@@ -21,8 +21,7 @@ def p1_statistics(spark: SparkSession, directory: str) -> DataFrame:
     """Text statistics of every body that is not blank, with the verdict of the rule list."""
     rows = table(spark, directory, "common_words").groupBy("lang").agg(F.collect_list("word").alias("words")).collect()
     mirror = table(spark, directory, "mirror_documents")
-    found = textquality.statistics(mirror, "file_id", body(F.col("content")), {r.lang: r.words for r in rows})
-    return found.withColumn("no_prose", F.expr(textquality.case_sql(textquality.RULES)))
+    return textquality.statistics(mirror, "file_id", body(F.col("content")), {r.lang: r.words for r in rows})
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:

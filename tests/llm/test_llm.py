@@ -433,7 +433,7 @@ def test_statistics_and_rules(spark):
     rows = [(1, "The size of the report is known to the team and kept in the archive."), (2, "- alpha beta\n- gamma delta\n- epsilon"), (3, "a\tb\tc\n1\t2\t3"), (4, " \n"), (5, None), (6, "# Only"),
             (7, "在所有工作区没有变化，数据管理员决定翻译模板库的规则"), (8, "> The end of the line is broken and\n> goes on in the next line of the text")]
     df = spark.createDataFrame(rows, "file_id long, body string")
-    got = {r.file_id: r for r in textquality.statistics(df, "file_id", F.col("body"), COMMON).withColumn("no_prose", F.expr(textquality.case_sql(textquality.RULES))).collect()}
+    got = {r.file_id: r for r in textquality.statistics(df, "file_id", F.col("body"), COMMON).collect()}
     assert {i: r.no_prose for i, r in got.items()} == {1: 0, 2: 1, 3: 1, 7: 0, 8: 0}
     assert got[1].sentence_share == 1 and got[2].marked_share == 1 and got[1].words == 15
     assert textquality.statistics(df.limit(0), "file_id", F.col("body"), {}).count() == 0
@@ -444,7 +444,7 @@ def test_induced_rules_hold_on_unseen_rows():
 
     def row():
         features = {name: rng.random() for name in textquality.FEATURES}
-        return features, int(features["sentence_share"] < 0.4 or features["split_share"] >= 0.8 and features["digit_share"] >= 0.5)
+        return features, int(features["common_share"] < 0.4 or features["cells"] >= 0.8 and features["digit_share"] >= 0.5)
 
     rules = textquality.induce([row() for _ in range(800)])
     unseen = [row() for _ in range(500)]
@@ -452,6 +452,20 @@ def test_induced_rules_hold_on_unseen_rows():
     assert right >= 0.93 * len(unseen) and "CASE WHEN" in textquality.case_sql(rules) and textquality.case_sql([]) == "0"
 
 
+def test_rules_induced_from_labelled_lines_hold_on_held_out_documents(spark, tmp_path):
+    rng = random.Random(5)
+    nouns = "report archive team folder index author review portal glossary office".split()
+    bodies = []
+    for k in range(240):
+        prose = [" ".join(f"The {rng.choice(nouns)} of the {rng.choice(nouns)} is known to a {rng.choice(nouns)} and kept in the {rng.choice(nouns)}." for _ in range(2)) for _ in range(6)]
+        other = [["- " + rng.choice(nouns), "\t".join(rng.choices(nouns, k=4)), " | ".join(rng.choices(nouns, k=3)), f"{rng.getrandbits(90):x}", " ".join(rng.choices(nouns, k=12))][k % 5] for _ in range(40)]
+        bodies.append("\n".join(prose + other[:3] if k % 2 else prose[:1] + other))
+    spark.createDataFrame(list(enumerate(bodies)), "file_id long, content string").write.parquet(f"{tmp_path}/mirror_documents.parquet")
+    spark.createDataFrame([(lang, w) for lang, ws in COMMON.items() for w in ws], "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
+    rules, figures = textquality.train(spark, str(tmp_path))
+    assert rules and figures["documents"] == 48 and figures["documents wrong"] <= 1 and figures["characters wrong"] < 0.05
+
+
 def test_labels():
     assert textquality.label("The size of the report is known to the team.", COMMON) == 0
     assert textquality.label("- a list\n- of items\n- and more", COMMON) == 1
