@@ -40,8 +40,11 @@ RECALL = 0.99
 #: Ids up to which a set of ids is broadcast (16 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Estimated records in a run from which it is split into pairs of blocks, the size of such a block, and the share of
-#: records (1 in so many) from which the estimate is made. They steer the work only, not the result.
+#: records (1 in so many) from which the estimate is made. They are the same at every size of the data, so that a run or a
+#: pair of blocks fits into a task; they steer the work only, not the result.
 HOT_RUN, BLOCK, ONE_IN = 20_000, 8_192, 32
+#: Copies of one text that one task pairs with others when pairs are expanded; larger groups are salted.
+EXPAND = 2_000
 #: Runs up to this length are compared pairwise at once, longer ones by a signature tree.
 SHORT_RUN = 64
 
@@ -105,11 +108,12 @@ def _entries(signed: DataFrame, group: str, key: str, depth: int, extra: list[st
     rows = rows.withColumn("run", run).drop("tree", "label")
     sample = signed.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(ONE_IN)) == 0)
     seen = sample.select(group, F.posexplode("labels").alias("tree", "label")).select(run.alias("run"))
-    least = F.greatest(F.lit(HOT_RUN), F.lit(signed.select(key).count() // 1000)) / ONE_IN
-    hot = [(r.run, int(r.c)) for r in seen.groupBy("run").agg(F.count("*").alias("c")).filter(F.col("c") >= least).collect()]
-    if not hot:
+    counts = seen.groupBy("run").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT_RUN / ONE_IN)
+    blocks = cut(counts.select("run", (F.floor(F.col("c") * ONE_IN / BLOCK) + 2).cast("int").alias("blocks")))
+    many = blocks.count()
+    if not many:
         return rows.withColumn("block", F.lit(0))
-    blocks = F.broadcast(rows.sparkSession.createDataFrame([(r, c * ONE_IN // BLOCK + 2) for r, c in hot], "run long, blocks int"))
+    blocks = F.broadcast(blocks) if many <= BROADCAST_IDS else blocks
     own = F.pmod(F.xxhash64(key, F.lit(13)), F.col("blocks")).cast("int")
     joined = rows.join(blocks, "run", "left").withColumn("block", F.coalesce(own, F.lit(0)))
     split = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("run", F.least("block", j), F.greatest("block", j)))
@@ -249,14 +253,32 @@ def expand(pairs: DataFrame, members: DataFrame, group: str) -> DataFrame:
 
     The result is as large as it must be: a group of copies has all its pairs. Use ``classes`` where that is too much.
     """
+    sizes = members.filter("id != rep_id").groupBy(group, "rep_id").agg(F.count("*").alias("copies"))
+    large = cut(sizes.filter(F.col("copies") >= EXPAND).select(group, "rep_id", F.ceil(F.col("copies") / EXPAND).cast("int").alias("parts")))
+    salted = not large.isEmpty()
+
+    def salt(left: DataFrame, rep: str) -> DataFrame:
+        """Rows of the left side, spread over the parts of a large group."""
+        if not salted:
+            return left.withColumn("part", F.lit(0))
+        own = F.pmod(F.xxhash64("left_id", F.lit(17)), F.col("parts")).cast("int")
+        return left.join(large.withColumnRenamed("rep_id", rep), [group, rep], "left").withColumn("part", F.coalesce(own, F.lit(0))).drop("parts")
+
+    def spread(right: DataFrame, rep: str) -> DataFrame:
+        """Rows of the right side, once for each part."""
+        if not salted:
+            return right.withColumn("part", F.lit(0))
+        found = right.join(large.withColumnRenamed("rep_id", rep), [group, rep], "left")
+        return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
     left = members.select(group, F.col("rep_id").alias("id_a"), F.col("id").alias("left_id"))
     right = members.select(group, F.col("rep_id").alias("id_b"), F.col("id").alias("right_id"))
-    across = pairs.select(group, "id_a", "id_b").join(left, [group, "id_a"]).join(right, [group, "id_b"])
+    across = salt(pairs.select(group, "id_a", "id_b").join(left, [group, "id_a"]), "id_b").join(spread(right, "id_b"), [group, "id_b", "part"])
     copied = members.filter("id != rep_id").select(group, "rep_id", "id")
     heads = copied.select(group, "rep_id").distinct().select(group, "rep_id", F.col("rep_id").alias("id"))
     within = copied.unionByName(heads)
     other = within.select(group, "rep_id", F.col("id").alias("right_id"))
-    inside = within.withColumnRenamed("id", "left_id").join(other, [group, "rep_id"]).filter("left_id < right_id")
+    inside = salt(within.withColumnRenamed("id", "left_id"), "rep_id").join(spread(other, "rep_id"), [group, "rep_id", "part"]).filter("left_id < right_id")
     both = across.select(group, "left_id", "right_id").unionByName(inside.select(group, "left_id", "right_id"))
     return both.select(group, F.least("left_id", "right_id").alias("id_a"), F.greatest("left_id", "right_id").alias("id_b"))
 

@@ -63,8 +63,8 @@ def _ranked(spark: SparkSession, directory: str) -> DataFrame:
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Who supplies content, path and score of each file that came in more than once.
 
-    TESTDATA.md fixes one rule per field, so a vote is not a sum but the rule's order: (characters, recency),
-    recency, (trust, recency).
+    TESTDATA.md fixes one rule per field, so votes are not added up over equal values, which would let two copies of a
+    poor value beat a better one; a vote is the rule's order: (characters, recency), recency, (trust, recency).
     """
     recent = F.coalesce(F.unix_micros("modified_at"), F.lit(-(1 << 62)))
     solid = F.length(F.regexp_replace(body(F.col("content")), r"(?U)\s+", ""))
@@ -76,11 +76,12 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
         "score": (nothing, F.col("score").isNotNull(), vote(-F.coalesce("trust_rank", F.lit(1 << 30)))),
     }
     long = survivors.unpivot(_ranked(spark, directory), F.col("group"), F.col("file_id"), fields)
-    return survivors.suppliers(long.drop("value")).withColumnRenamed("record_id", "file_id")
+    wide = survivors.suppliers(long.drop("value"), list(fields))
+    return wide.unpivot("group_id", list(fields), "field_name", "file_id").filter("file_id IS NOT NULL")
 
 
 def p3_survivors(spark: SparkSession, directory: str) -> DataFrame:
-    """One whole record per file: each field's value with the greatest sum of source trust times recency decay.
+    """One whole record per file that came in more than once: each field's value with the greatest sum of source trust times recency decay.
 
     A vote is 1 / trust_rank (1/100 where the origin is unknown) halved for every 180 days before the newest ingest of
     the whole table; a record without ``modified_at`` counts as three years old. Values that differ only in blanks at
@@ -97,7 +98,10 @@ def p3_survivors(spark: SparkSession, directory: str) -> DataFrame:
     vote = F.round(vote, 9).cast("decimal(20,9)")
     fields = {name: (plain(name), plain(name).isNotNull(), vote) for name in names}
     fields |= {name: (F.sha2(plain(name), 256), plain(name).isNotNull(), vote) for name in large}
+    fields["record"] = (F.lit("any"), F.lit(True), F.lit(0).cast("decimal(20,9)"))  # counts the group
     winners = survivors.voted(survivors.unpivot(rows, F.col("group"), F.col("file_id"), fields))
+    several = winners.filter("field_name = 'record' AND first_id != last_id").select("group_key")
+    winners = winners.join(several, "group_key", "left_semi")
     found = survivors.pivot_back(winners, "group_key", "value", names)
     first = survivors.pivot_back(winners, "group_key", "winner_id", large)
     records = table(spark, directory, "mirror_documents")

@@ -63,40 +63,38 @@ def unpivot(df: DataFrame, group: Column, record: Column, fields: Mapping[str, t
     return long.select("group_key", "record_id", "f.*")
 
 
-def suppliers(long: DataFrame, at_least: int = 2) -> DataFrame:
-    """``group_id, field_name, record_id``: who supplies each field of each group of ``at_least`` records.
+def suppliers(long: DataFrame, names: list[str]) -> DataFrame:
+    """One row per group of at least two records: ``group_id`` and, for each field, the record that supplies it.
 
-    The winner has the greatest vote, then the smallest ``record_id``; ``group_id`` is the group's smallest
-    ``record_id``. A field that no record may supply has no row. Rows without a group key are dropped: they denote
-    no file. Repeated rows of one record count once.
+    The winner by ``max_by`` has the greatest vote among the records that may supply the field, then the smallest
+    ``record_id``; null where none may. ``group_id`` is the group's smallest ``record_id``. Rows without a group key are
+    dropped: they denote no file. Repeated rows of one record count once.
     """
-    order = F.struct(F.col("eligible"), F.col("vote"), -F.col("record_id"))
+    order = F.when(F.col("eligible"), F.struct(F.col("vote"), -F.col("record_id")))
     best = long.filter("group_key IS NOT NULL").groupBy("group_key", "field_name").agg(
-        F.min("record_id").alias("group_id"),
-        F.max("record_id").alias("last_id"),
-        F.count("*").alias("members"),
-        F.max(order).alias("winner"),
-    )
-    several = (F.col("members") >= at_least) & (F.col("group_id") != F.col("last_id"))
-    return best.filter(several & F.col("winner.eligible")).select(
-        "group_id", "field_name", (-F.col("winner").getField("col3")).alias("record_id")
+        F.min("record_id").alias("group_id"), F.max("record_id").alias("last_id"), F.max_by("record_id", order).alias("winner_id"), F.max("eligible").alias("any")
     )
+    winners = best.filter("group_id != last_id").withColumn("winner_id", F.when(F.col("any"), F.col("winner_id")))
+    return pivot_back(winners, "group_id", "winner_id", names)
 
 
 def voted(long: DataFrame) -> DataFrame:
     """Winners by summed votes: ``group_key, field_name, value``, and ``winner_id``, the first record that has the value.
 
     ``vote`` is a number; votes of records whose value is the same add up, and the value with the greatest sum wins,
-    then the one with the smallest ``record_id``. Values that may not be supplied have no vote.
+    then the one with the smallest ``record_id``. Values that may not be supplied have no vote. ``first_id`` and
+    ``last_id`` are the smallest and greatest ``record_id`` of the field's voters.
     """
     sums = long.filter("group_key IS NOT NULL AND eligible").groupBy("group_key", "field_name", "value").agg(
-        F.sum("vote").alias("votes"), F.min("record_id").alias("first_id"), F.count("*").alias("voters")
+        F.sum("vote").alias("votes"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"), F.count("*").alias("voters")
     )
+    order = F.struct(F.col("votes"), -F.col("first_id"))
     return sums.groupBy("group_key", "field_name").agg(
-        F.max_by("value", F.struct(F.col("votes"), -F.col("first_id"))).alias("value"),
-        F.max_by("first_id", F.struct(F.col("votes"), -F.col("first_id"))).alias("winner_id"),
+        F.max_by("value", order).alias("value"),
+        F.max_by("first_id", order).alias("winner_id"),
         F.max("votes").alias("votes"),
         F.min("first_id").alias("first_id"),
+        F.max("last_id").alias("last_id"),
         F.sum("voters").alias("voters"),
     )
 

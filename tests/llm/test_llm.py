@@ -138,6 +138,15 @@ def test_pairs_equal_brute_force(spark):
     assert found_pairs(spark, rows[:0]) == set()
 
 
+def test_a_large_group_of_copies_is_expanded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "EXPAND", 3)
+    members = spark.createDataFrame([("a", i, 0) for i in range(10)] + [("a", 20, 20), ("a", 21, 20), ("b", 0, 0)], "src string, id long, rep_id long")
+    pairs = spark.createDataFrame([("a", 0, 20)], "src string, id_a long, id_b long")
+    got = sorted(tuple(r) for r in neardup.expand(pairs, members, "src").collect())
+    inside = [("a", i, j) for i in range(10) for j in range(i + 1, 10)] + [("a", 20, 21)]
+    assert got == sorted(inside + [("a", i, j) for i in range(10) for j in (20, 21)])
+
+
 def test_classes(spark):
     rows = list(enumerate(texts(8, 6, 4) + ["lone words stand here", "a b c", "a b c"]))
     pairs, members = neardup.similar(frame(spark, rows), "src", 3, 0.5)
@@ -237,7 +246,7 @@ def test_suppliers_and_votes(spark):
     rows = [("k", 3, 5, True), ("k", 1, 5, True), ("k", 2, 9, False), ("l", 4, 1, True), (None, 5, 1, True), (None, 6, 1, True), ("m", 7, 1, False), ("m", 8, 2, False)]
     df = spark.createDataFrame(rows, "k string, id long, v long, ok boolean")
     long = survivors.unpivot(df, F.col("k"), F.col("id"), {"f": (F.col("v"), F.col("ok"), F.col("v"))})
-    assert [tuple(r) for r in survivors.suppliers(long).collect()] == [(1, "f", 1)]
+    assert {tuple(r) for r in survivors.suppliers(long, ["f"]).collect()} == {(1, 1), (7, None)}
     voted = survivors.voted(survivors.unpivot(df, F.col("k"), F.col("id"), {"f": (F.col("v").cast("string"), F.col("ok"), F.lit(1.0))}))
     assert {r.group_key: r.value for r in voted.collect()} == {"k": "5", "l": "1"}
     assert survivors.pivot_back(voted, "group_key", "value", ["f", "g"]).filter("g IS NULL").count() == 2
@@ -249,7 +258,8 @@ def test_survivors_are_whole_records(spark, tmp_path):
     schema = "file_id long, path string, title string, content string, score int, doc_format string, origin string, modified_at timestamp, ingested_at timestamp"
     at = lambda day: datetime(2024, 1, day)
     rows = [(1, "a/b.md", "T", "one", 1, "pdf", "x", at(1), at(9)), (2, "A/B_v2.md", "T", " two\n\n", 2, "pdf", "y", at(1), at(9)), (3, "a/b - Copy.md", None, "one ", None, "pdf", "y", at(1), at(9)),
-            (4, "a/b_v3.md", "U", "three", 3, "pdf", "z", at(1), at(9)), (5, "c.md", None, " ", None, None, None, None, at(9)), (6, "d.md", "D", None, 4, "md", "x", None, at(9)), (7, None, "N", "n", 4, "md", "x", None, at(9))]
+            (4, "a/b_v3.md", "U", "three", 3, "pdf", "z", at(1), at(9)), (5, "c.md", None, " ", None, None, None, None, at(9)), (6, "d.md", "D", None, 4, "md", "x", None, at(9)), (7, None, "N", "n", 4, "md", "x", None, at(9)),
+            (8, "C_final.md", None, None, None, None, None, None, at(9)), (9, "d (2).md", "D", None, 4, "md", "x", None, at(9)), (10, "once.md", "O", "once", 4, "md", "x", None, at(9))]
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/mirror_documents.parquet")
     spark.createDataFrame([("x", 2), ("y", 4), ("z", 2)], "origin string, trust_rank int").write.parquet(f"{tmp_path}/origins.parquet")
     got = {r.file_key: r for r in queries.p3_survivors(spark, str(tmp_path)).collect()}
