@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.operators import tfidf
+from sedimenta.operators.components import components
+from sedimenta.session import cut
+
 
 def tag_names(notes: DataFrame) -> DataFrame:
     """``id, tag`` of the distinct tags in the JSON text ``tags``; text that is no JSON array has none."""
@@ -77,3 +81,24 @@ def duplicate_groups(members: DataFrame, classes: DataFrame, most: int = 3) -> D
     shown = F.array_join(F.transform("t", lambda x: x["title"]), ", ")
     more = F.when(F.col("notes") > most, F.concat(F.lit(" (+"), (F.col("notes") - most).cast("string"), F.lit(")"))).otherwise("")
     return counts.join(titles, "class_id").select("class_id", "notes", F.concat(shown, more).alias("titles"))
+
+
+def similar_groups(notes: DataFrame, note_tags: DataFrame, tags: DataFrame, threshold: float = 0.6, most: int = 3, most_tags: int = 5) -> DataFrame:
+    """``class_id, notes, similarity, titles, common_tags`` of notes whose title and content are alike, the likest first.
+
+    A group is what cosines of at least the threshold connect, ``similarity`` its greatest; ``titles`` are the first ones and how
+    many more there are, ``common_tags`` the first tags that all its notes share. Null titles and contents count as empty.
+    """
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    rows = notes.select("id", "title", text.alias("text"))
+    pairs = cut(tfidf.similar_pairs(rows, "id", "text", threshold))
+    copied = cut(tfidf.copies(rows.filter("text != '\n'"), "id", "text").filter("id != rep_id"))
+    links = pairs.select("id_a", "id_b", "cosine").unionByName(copied.select(F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine")))
+    classes = cut(components(links.select("id_a", "id_b")).withColumnRenamed("component", "class_id"))
+    groups = duplicate_groups(rows.select("id", "title"), classes, most)
+    best = links.join(classes.withColumnRenamed("id", "id_a"), "id_a").groupBy("class_id").agg(F.max("cosine").alias("similarity"))
+    tagged = note_tags.distinct().join(classes.withColumnRenamed("id", "note_id"), "note_id").groupBy("class_id", "tag_id").agg(F.count("*").alias("n"))
+    shared = tagged.join(groups.select("class_id", "notes"), "class_id").filter("n = notes").join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    names = shared.groupBy("class_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, most_tags), ", ").alias("common_tags"))
+    joined = groups.join(best, "class_id").join(names, "class_id", "left")
+    return joined.select("class_id", "notes", F.least(F.lit(1.0), "similarity").alias("similarity"), "titles", F.coalesce("common_tags", F.lit("")).alias("common_tags"))

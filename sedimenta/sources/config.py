@@ -17,13 +17,16 @@ class Model:
     key: str = ""
     name: str = ""
     timeout: int = 60
+    max_tokens: int = 1024
 
 
 @dataclass
 class Recognition:
-    """How images and pages are recognised: cloud, local or slide; anything else counts as cloud."""
+    """How images and pages are recognised: cloud, local, hybrid or slide; anything else counts as cloud."""
 
+    enabled: bool = False
     mode: str = "cloud"
+    language: str = "chi_sim+eng"
     model: Model = field(default_factory=Model)
     min_bytes: int = 500
     min_pixels: int = 50
@@ -56,7 +59,7 @@ def build(raw: dict, target: Any = None) -> Config:
         if item.name in (raw or {}):
             current = getattr(target, item.name)
             setattr(target, item.name, build(raw[item.name] or {}, current) if is_dataclass(current) else raw[item.name])
-    if isinstance(target, Recognition) and target.mode not in ("cloud", "local", "slide"):
+    if isinstance(target, Recognition) and target.mode not in ("cloud", "local", "hybrid", "slide"):
         target.mode = "cloud"
     return target
 

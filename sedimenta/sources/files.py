@@ -1,8 +1,8 @@
 """Scans of source folders and of Markdown mirrors, and the conversion of files to Markdown.
 
-Conversion reads ``binaryFile`` rows in Arrow batches. Text, Markdown, CSV, HTML, notebooks and the office formats that
-are zip archives of XML are read with the standard library; other formats come out with status ``error`` and can be
-given a converter of the caller's in the registry.
+Conversion reads ``binaryFile`` rows in Arrow batches. Text, Markdown, CSV, HTML, notebooks, PDF text, e-books, archives,
+picture and sound headers and the office formats that are zip archives of XML are read with the standard library; other
+formats come out with status ``error`` and can be given a converter of the caller's in the registry.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.functions import slides
+from sedimenta.sources import pdf, pictures
+
 # Extensions that are converted, and images that are copied only where they are not among these.
 SUPPORTED = ["pdf", "docx", "pptx", "xlsx", "xls", "html", "htm", "epub", "csv", "txt", "md", "png", "jpg", "jpeg", "gif", "bmp", "webp", "mp3", "wav", "m4a", "zip", "msg", "ipynb"]
 IMAGES = ["png", "jpg", "jpeg", "gif", "bmp", "webp", "svg"]
@@ -267,7 +270,7 @@ def xlsx_markdown(data: bytes) -> str:
 
 
 def zip_images(data: bytes, folder: str) -> list[tuple[str, bytes]]:
-    """The images of an office file below ``folder`` (word/media/, ppt/media/), in order of their numbers."""
+    """The images of an office file below ``folder`` (word/media/), in order of their numbers."""
 
     def order(name: str) -> tuple:
         digits = re.search(r"\d+", name.rpartition("/")[2])
@@ -277,13 +280,130 @@ def zip_images(data: bytes, folder: str) -> list[tuple[str, bytes]]:
         return [(n.rpartition("/")[2], archive.read(n)) for n in sorted((n for n in archive.namelist() if n.startswith(folder)), key=order)]
 
 
+def pptx_images(data: bytes) -> list[tuple[str, bytes]]:
+    """The pictures of a deck in order of slide and shape, named by both: ``slide{i}_img{j}`` with j the shape's place."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = set(archive.namelist())
+        for page, name in enumerate(_slide_names(archive), 1):
+            links = f"ppt/slides/_rels/{name.rpartition('/')[2]}.rels"
+            targets = {e.attrib.get("Id"): e.attrib.get("Target", "") for e in _xml(archive, links)} if links in names else {}
+            tree = next((e for e in _xml(archive, name).iter() if _local(e.tag) == "spTree"), ())
+            for number, shape in enumerate((s for s in tree if _local(s.tag) in ("sp", "pic", "graphicFrame", "grpSp", "cxnSp")), 1):
+                blip = next((e for e in shape.iter() if _local(e.tag) == "blip"), None) if _local(shape.tag) == "pic" else None
+                link = next((v for k, v in blip.attrib.items() if _local(k) == "embed"), None) if blip is not None else None
+                member = "ppt/" + targets.get(link, "").removeprefix("/ppt/").removeprefix("../")
+                if member in names:
+                    out.append((f"slide{page}_img{number}.{member.rpartition('.')[2] or 'png'}", archive.read(member)))
+    return out
+
+
+def office_images(files: DataFrame) -> DataFrame:
+    """``file, position, name, content``: the images inside decks and Word files (``path, content``); broken files have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    found = pptx_images(bytes(content)) if path.lower().endswith(".pptx") else zip_images(bytes(content), "word/media/")
+                except Exception:  # noqa: BLE001
+                    found = []
+                if found:
+                    yield pd.DataFrame([(path, at, name, image) for at, (name, image) in enumerate(found)], columns=["file", "position", "name", "content"])
+
+    wanted = files.filter(extension(F.col("path")).isin("pptx", "docx")).select("path", "content")
+    return wanted.mapInPandas(run, "file string, position int, name string, content binary")
+
+
+SHAPE = "page int, number int, kind int, placeholder string, chart boolean, rows int, columns int, text string, left long, top long, width long, height long, slide_width long, slide_height long"
+
+
+def deck_layouts(files: DataFrame) -> DataFrame:
+    """``file, layouts``: for each deck (``path, content``) the map of page to its notes, one ``role(region)`` a shape in order."""
+    names = [part.split()[0] for part in SHAPE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    shapes = pptx_shapes(bytes(content))
+                except Exception:  # noqa: BLE001
+                    shapes = []
+                if shapes:
+                    yield pd.DataFrame([(path, *(shape[n] for n in names)) for shape in shapes], columns=["file", *names])
+
+    decks = files.filter(extension(F.col("path")) == "pptx").select("path", "content")
+    shapes = decks.mapInPandas(run, "file string, " + SHAPE).withColumn("shape", F.struct(*names))
+    c = F.col
+    region = slides.shape_region(c("left"), c("top"), c("width"), c("height"), c("slide_width"), c("slide_height"))
+    noted = shapes.withColumn("role", slides.shape_role(c("shape"))).filter("role IS NOT NULL")
+    note = F.concat("role", F.when(region != "", F.concat(F.lit("("), region, F.lit(")"))).otherwise(""))
+    pages = noted.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct("number", note.alias("note")))).alias("n"))
+    entries = F.struct("page", F.transform("n", lambda x: x["note"]).alias("notes"))
+    return pages.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(entries))).alias("layouts"))
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """``path, page, text`` of PDF files (``path, content``); a file that can't be read has no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    texts = pdf.page_texts(bytes(content))
+                except Exception:  # noqa: BLE001
+                    texts = []
+                if texts:
+                    yield pd.DataFrame({"path": path, "page": range(1, len(texts) + 1), "text": texts})
+
+    wanted = files.filter(extension(F.col("path")) == "pdf").select("path", "content")
+    return wanted.mapInPandas(run, "path string, page int, text string")
+
+
+def epub_markdown(data: bytes) -> str:
+    """The chapters of an e-book in order of its spine."""
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        root = next(e.attrib["full-path"] for e in _xml(archive, "META-INF/container.xml").iter() if _local(e.tag) == "rootfile")
+        package = _xml(archive, root)
+        items = {e.attrib.get("id"): e.attrib.get("href", "") for e in package.iter() if _local(e.tag) == "item"}
+        folder = root.rpartition("/")[0]
+        chapters = [items.get(e.attrib.get("idref"), "") for e in package.iter() if _local(e.tag) == "itemref"]
+        return "\n\n".join(html_markdown(archive.read(f"{folder}/{c}".lstrip("/"))) for c in chapters if c)
+
+
+def zip_markdown(data: bytes) -> str:
+    """The members of an archive that can be converted, each below a heading with its name."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        for name in sorted(n for n in archive.namelist() if not n.endswith("/")):
+            converter = CONVERTERS.get(name.rpartition(".")[2].lower())
+            if converter:
+                out.append(f"## File: {name}\n\n{converter(archive.read(name))}")
+    return "\n\n".join(out)
+
+
+def picture_markdown(data: bytes) -> str:
+    """The resolution of a picture; empty if its bytes do not tell it."""
+    found = pictures.size(data)
+    return f"ImageSize: {found[0]}x{found[1]}" if found else ""
+
+
+def wave_markdown(data: bytes) -> str:
+    """Channels, rate and length of a sound file."""
+    import wave
+
+    with wave.open(io.BytesIO(data)) as sound:
+        return f"NumChannels: {sound.getnchannels()}\nSampleRate: {sound.getframerate()}\nDuration: {sound.getnframes() / sound.getframerate():.2f} s"
+
+
 def _plain(data: bytes) -> str:
     return data.decode("utf-8-sig", "replace")
 
 
 CONVERTERS: dict[str, Callable[[bytes], str]] = {
     "txt": _plain, "md": _plain, "csv": csv_markdown, "html": html_markdown, "htm": html_markdown, "ipynb": notebook_markdown,
-    "docx": docx_markdown, "pptx": pptx_markdown, "xlsx": xlsx_markdown,
+    "docx": docx_markdown, "pptx": pptx_markdown, "xlsx": xlsx_markdown, "pdf": pdf.pdf_markdown, "epub": epub_markdown, "zip": zip_markdown, "wav": wave_markdown,
+    **{kind: picture_markdown for kind in ("png", "jpg", "jpeg", "gif", "bmp", "webp")},
 }
 
 

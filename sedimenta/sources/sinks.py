@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import shutil
 import sqlite3
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -18,7 +20,7 @@ from sedimenta.functions import frontmatter
 # What a note store must have.
 REQUIRED = {
     "workspaces": ["id", "name", "created_at"],
-    "notes": ["id", "workspace_id", "title", "content", "tags", "created_at", "updated_at"],
+    "notes": ["id", "workspace_id", "title", "content", "created_at", "updated_at"],
     "tags": ["id", "name"],
     "note_tags": ["note_id", "tag_id"],
 }
@@ -39,7 +41,10 @@ def write_tree(df: DataFrame, folder: str, path: str = "relative", content: str
                     if Path(folder).resolve() not in target.parents:
                         raise ValueError("path leaves the folder")
                     target.parent.mkdir(parents=True, exist_ok=True)
-                    target.write_text(text or "", encoding="utf-8", newline="")
+                    if isinstance(text, (bytes, bytearray)):
+                        target.write_bytes(text)
+                    else:
+                        target.write_text(text or "", encoding="utf-8", newline="")
                     rows.append((name, "exported", None))
                 except (OSError, ValueError) as failure:
                     rows.append((name, "error", str(failure)[:300]))
@@ -48,6 +53,27 @@ def write_tree(df: DataFrame, folder: str, path: str = "relative", content: str
     return df.select(path, content).mapInPandas(run, "path string, status string, error string")
 
 
+def copy_files(files: DataFrame, folder: str, source: str = "path", path: str = "relative") -> DataFrame:
+    """Copies files (``source`` on a file system that all executors share) to ``folder/path``; ``path, status, error``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for origin, name in zip(batch[source], batch[path]):
+                try:
+                    target = (Path(folder) / str(name).lstrip("/")).resolve()
+                    if Path(folder).resolve() not in target.parents:
+                        raise ValueError("path leaves the folder")
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    shutil.copy2(origin, target)
+                    rows.append((name, "copied", None))
+                except (OSError, ValueError) as failure:
+                    rows.append((name, "error", str(failure)[:300]))
+            yield pd.DataFrame(rows, columns=["path", "status", "error"])
+
+    return files.select(source, path).mapInPandas(run, "path string, status string, error string")
+
+
 def vault(df: DataFrame, path: str, content: str, today: Column, folder: str = "sedimenta", exact_keys: bool = True) -> DataFrame:
     """``relative, content`` of files for a note vault, below one folder of it."""
     return df.select(F.concat(F.lit(folder + "/"), F.col(path)).alias("relative"), frontmatter.for_vault(F.col(content), F.col(path), today, exact_keys).alias("content"))
@@ -91,6 +117,11 @@ def note_rows(documents: DataFrame, path: str, content: str, workspace_id: int,
     )
 
 
+def _mark(title: str | None, body: str | None) -> bytes:
+    """A short key of a note, by which equal notes are looked up."""
+    return hashlib.blake2b(f"{title or ''}\0{body or ''}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def to_sqlite(documents: DataFrame, database: str, workspace: str, path: str = "path", content: str = "content") -> dict[str, int]:
     """Appends files as notes to a SQLite store on the driver, in one transaction; notes with the same title and body are not repeated.
 
@@ -116,15 +147,20 @@ def to_sqlite(documents: DataFrame, database: str, workspace: str, path: str = "
 
         with connection:
             home = id_of("workspaces", workspace)
+            connection.execute("CREATE TEMP TABLE marks (mark BLOB PRIMARY KEY)")
+            connection.create_function("mark_of", 2, _mark, deterministic=True)
+            connection.execute("INSERT OR IGNORE INTO temp.marks SELECT mark_of(title, content) FROM main.notes WHERE workspace_id = ?", (home,))
             for row in documents.select(frontmatter.parse(F.col(content), F.col(path)).alias("p")).toLocalIterator():
                 note = row.p
-                if connection.execute("SELECT 1 FROM notes WHERE workspace_id = ? AND title = ? AND content = ?", (home, note.title, note.body)).fetchone():
+                mark = _mark(note.title, note.body)
+                if connection.execute("SELECT 1 FROM temp.marks WHERE mark = ?", (mark,)).fetchone():
                     stats["existing"] += 1
                     continue
-                made = connection.execute(
-                    "INSERT INTO notes (workspace_id, title, content, tags, created_at, updated_at) VALUES (?, ?, ?, ?, ?, ?)",
-                    (home, note.title, note.body, json.dumps(list(note.tags), ensure_ascii=False), now, now),
-                ).lastrowid
+                connection.execute("INSERT INTO temp.marks VALUES (?)", (mark,))
+                values = {"workspace_id": home, "title": note.title, "content": note.body, "created_at": now, "updated_at": now}
+                if "tags" in columns["notes"]:
+                    values["tags"] = json.dumps(list(note.tags), ensure_ascii=False)
+                made = connection.execute(f"INSERT INTO notes ({', '.join(values)}) VALUES ({', '.join('?' * len(values))})", [*values.values()]).lastrowid
                 for tag in dict.fromkeys(note.tags):
                     connection.execute("INSERT OR IGNORE INTO note_tags (note_id, tag_id) VALUES (?, ?)", (made, id_of("tags", tag)))
                 stats["exported"] += 1
