@@ -65,11 +65,17 @@ def freshness_score(modified: Column, as_of: Column) -> Column:
 
 
 def keyword_hits(text: Column) -> Column:
-    """Occurrences of the key terms, each term counted by itself."""
+    """Occurrences of the key terms in any letter case, each term counted by itself.
+
+    Counted by what their removal leaves out, which is several times faster than patterns. The four characters that are
+    forms of i, k and s in another case count as these.
+    """
     text = F.coalesce(text, F.lit(""))
+    low = F.lower(F.translate(text, "ıİſK", "iisk"))
     total = F.lit(0)
     for term in KEY_TERMS:
-        total = total + F.regexp_count(text, F.lit(f"(?iu){term}"))
+        where = low if term.isascii() else text
+        total = total + ((F.length(where) - F.length(F.replace(where, F.lit(term.lower())))) / len(term)).cast("int")
     return total
 
 

@@ -167,6 +167,14 @@ FROM (SELECT file_id, path, coalesce(content, '') AS t FROM mirror_documents)"""
     name_json = "CASE WHEN json_valid(tags) THEN CASE WHEN json_type(tags) = 'ARRAY' THEN CAST(tags AS JSON) END END"
     tag_rows = f"SELECT DISTINCT id, x ->> '$' AS tag FROM (SELECT id, unnest(CAST({name_json} AS JSON[])) AS x FROM notes) WHERE x ->> '$' IS NOT NULL AND x ->> '$' != ''"
     real = "SELECT DISTINCT source_note_id AS s, target_note_id AS t FROM note_links WHERE source_note_id != target_note_id"
+    nl = "chr(10)"
+    anchor = lambda n: f"'<!-- Slide number: {n} -->' || {nl} || {nl}"
+    bare = f"regexp_replace(coalesce(title, ''), '\\A{_S}+|{_S}+\\z', '', 'g')"
+    page_one = f"{anchor(1)} || '📊 **T**（S）' || {nl} || {nl} || '**概述**：O' || {nl} || {nl} || 'B' || CASE WHEN {bare} = '' THEN '' ELSE {nl} || {nl} || '<details><summary>markitdown 原文（兜底参考）</summary>' || {nl} || {bare} || {nl} || '</details>' END"
+    page_two = f"regexp_replace({anchor(2)} || coalesce(doc_format, ''), '{_S}+\\z', '') || {nl} || {nl} || '> 📊 **整页理解**: ⚠️ 本页图表语义识别失败（VLM 请求异常），原始文字已保留'"
+    ref_all = r"list_filter(regexp_extract_all(t, '!\[.*?\]\([^)]+\)', 0), lambda x: NOT regexp_matches(x, '^!\[.*?\]\(https?://'))"
+    swap = lambda text, old, new: f"CASE WHEN {old} IS NULL OR strpos({text}, {old}) = 0 THEN {text} ELSE left({text}, strpos({text}, {old}) - 1) || {new} || substr({text}, strpos({text}, {old}) + length({old})) END"
+    mirrored = f"docs AS (SELECT file_id AS doc_id, content AS text, path, modified_at FROM mirror_documents), {_SIM_PAIRS.replace('FROM documents', 'FROM docs')}, {_scored('mirror_documents', 'file_id', 'content', _FRESH, ', modified_at')}, members AS (SELECT doc_id, rep_id FROM prints JOIN classes USING (fingerprint)), {_greedy('members')}"
     stamp = lambda c: f"coalesce(try_cast(replace({c}, 'T', ' ') AS TIMESTAMPTZ), NULL)"
     return {
         "score_length": f"SELECT doc_id, round({_LENGTH}, 6) AS length_score FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
@@ -198,6 +206,18 @@ FROM (SELECT file_id, path, coalesce(content, '') AS t FROM mirror_documents)"""
         "frontmatter_render": rendered,
         "vault_frontmatter": vault,
         "image_references": links,
+        "slide_anchors": f"SELECT file_id, '2' AS failed_pages, md5({page_one} || {nl} || {page_two} || {nl} || {anchor(3)} || coalesce(path, '')) AS injected FROM mirror_documents",
+        "slide_layouts": f"SELECT file_id, md5({anchor(1)} || coalesce(title, '') || {nl} || {nl} || '<!-- Slide number: 2 -->' || {nl} || '> 🗂 **版式**: 标题(整页宽) · ' || coalesce(origin, '-') || {nl} || {nl} || coalesce(doc_format, '') || {nl} || {nl} || {anchor(3)} || coalesce(path, '')) AS with_layout FROM mirror_documents",
+        "shape_notes": f"SELECT file_id, CASE WHEN n % 7 = 0 THEN '标题' WHEN n % 7 = 1 THEN '占位符' WHEN n % 5 = 0 THEN '图表' WHEN n % 3 = 0 THEN '表格 2×4' WHEN n % 2 = 0 THEN '图片' WHEN regexp_replace(coalesce(title, ''), '{_S}+', '', 'g') != '' THEN '正文' END AS role, CASE WHEN h IS NULL THEN '' WHEN w >= 900 THEN '整页宽' WHEN h >= 900 THEN '整页高' WHEN w < 500 AND h < 600 THEN CASE WHEN l + w / 2.0 < 500 THEN '左栏' ELSE '右栏' END ELSE CASE WHEN l + w / 2.0 < 500 THEN '左' ELSE '右' END || CASE WHEN t + h / 2.0 < 500 THEN '上' ELSE '下' END END AS region FROM (SELECT file_id, title, file_id AS n, file_id * 37 % 1000 AS l, file_id * 53 % 1000 AS t, file_id * 71 % 1000 AS w, CASE WHEN file_id % 11 != 0 THEN file_id * 29 % 1000 END AS h FROM mirror_documents)",
+        "image_pairs": f"SELECT file_id, least(len(r), 2) AS pairs, md5({swap('t1', 'r2', chr(39) + '(f_images/b.png)' + chr(39))}) AS replaced FROM (SELECT *, {swap('t', 'r1', chr(39) + '(f_images/a.png)' + chr(39))} AS t1 FROM (SELECT *, '(' || r[1] || ')' AS r1, '(' || r[2] || ')' AS r2 FROM (SELECT file_id, t, list_filter(regexp_extract_all(t, '{ref}', 1), lambda x: NOT regexp_matches(x, '^https?://')) AS r FROM (SELECT file_id, coalesce(content, '') AS t FROM mirror_documents))))",
+        "image_notes": f"SELECT file_id, md5({swap('t', 'f', 'f || chr(10) || chr(10) || ' + chr(39) + '> 📷 **图片识别**: a chart' + chr(39))}) AS noted, md5({swap('t', 'f', chr(39) + chr(39))}) AS dropped FROM (SELECT file_id, t, {ref_all}[1] AS f FROM (SELECT file_id, coalesce(content, '') AS t FROM mirror_documents))",
+        "name_order": f"SELECT file_id, (d = '')::INT AS none, CASE WHEN d = '' THEN 0 ELSE d::BIGINT END AS number, name, CASE WHEN file_id % 2 = 0 THEN file_id ELSE 0 END AS page FROM (SELECT file_id, {_NAME} AS name, regexp_extract({_NAME}, '([0-9]+)', 1) AS d FROM mirror_documents)",
+        "text_layers": f"SELECT source AS source, coalesce(sum(length(regexp_replace(text, '\\A{_S}+|{_S}+\\z', '', 'g'))) / nullif(count(text), 0)::DOUBLE >= 50, false) AS has_text_layer FROM documents GROUP BY source",
+        "skip_existing": "SELECT file_id FROM mirror_documents d WHERE NOT EXISTS (SELECT 1 FROM mirror_documents e WHERE e.file_id % 3 = 0 AND e.path = d.path)",
+        "recognition_reasons": "SELECT reason, count(*) AS pictures FROM (SELECT CASE WHEN n % 13 = 0 THEN 'missing' WHEN n * 97 % 3000 < 500 THEN 'too small' WHEN n % 7 != 0 AND (n * 11 % 300 < 50 OR n * 17 % 300 < 50) THEN 'low resolution' WHEN n % 7 = 0 THEN 'kept' WHEN n % 5 != 0 AND n % 40 < 10 AND n * 3 % 40 < 10 AND n * 7 % 40 < 10 THEN 'solid colour' ELSE 'kept' END AS reason FROM (SELECT file_id AS n FROM mirror_documents)) WHERE reason != 'kept' GROUP BY reason",
+        "first_pages": "WITH p AS (SELECT coalesce(doc_format, '-') AS file, lpad(file_id::VARCHAR, 8, '0') || '/page' || (file_id % 20) || '.png' AS path, file_id % 20 AS n FROM mirror_documents), q AS (SELECT *, CASE WHEN n = 0 THEN row_number() OVER (PARTITION BY file, n = 0 ORDER BY path) ELSE n END AS page FROM p) SELECT file, page, path FROM (SELECT *, row_number() OVER (PARTITION BY file, page ORDER BY n = 0, path) AS r FROM q) WHERE r = 1",
+        "extract_metadata": f"SELECT file_id, md5(CASE WHEN regexp_matches(t, {_STRICT}) THEN '---' || chr(10) || m || x || '---' || chr(10) || chr(10) || regexp_replace(t, {_STRICT}, '') ELSE '---' || chr(10) || x || '---' || chr(10) || chr(10) || t END) AS with_scores FROM (SELECT file_id, t, regexp_extract(t, {_STRICT}, 1) AS m, chr(10) || 'dk_score: ' || coalesce(score, 0) || chr(10) || 'dk_score_detail:' || chr(10) || '  length: 12.3' || chr(10) || '  structure: 50.0' || chr(10) || '  freshness: 0.2' || chr(10) || '  keywords: 100.0' || chr(10) || '  uniqueness: 66.7' || chr(10) || 'dk_tags: [\"' || coalesce(doc_format, '') || '\", \"' || coalesce(origin, '') || '\"]' || chr(10) AS x FROM (SELECT *, coalesce(content, '') AS t FROM mirror_documents))",
+        "extract_counters": f"WITH RECURSIVE {mirrored}, kept AS (SELECT d.doc_id, s.score, first_value(d.doc_id) OVER (PARTITION BY {_version()} ORDER BY s.score DESC, length(coalesce(text, '')) DESC, coalesce(epoch_us(modified_at), 0) DESC, d.doc_id) AS best FROM docs d JOIN resolved r ON r.doc_id = d.doc_id AND r.similar_to IS NULL JOIN scored s ON s.id = d.doc_id) SELECT status, count(*) AS documents FROM (SELECT CASE WHEN r.similar_to IS NOT NULL THEN 'duplicate' WHEN k.best != k.doc_id THEN 'merged' WHEN k.score < 30 THEN 'low_score' ELSE 'kept' END AS status FROM resolved r LEFT JOIN kept k ON k.doc_id = r.doc_id) GROUP BY status",
         "incremental_changed": "WITH seen AS (SELECT path, max(modified_at) AS m, true AS there FROM mirror_documents WHERE file_id % 2 = 0 GROUP BY path) SELECT file_id, d.path FROM mirror_documents d LEFT JOIN seen s USING (path) WHERE s.m IS NULL OR d.modified_at IS NULL OR d.modified_at > s.m",
         "extract_pipeline": f"WITH RECURSIVE {_PAIRS}, {_scored('documents', 'doc_id', 'text').replace('base AS', 'base_ AS').replace('FROM base ', 'FROM base_ ').replace('base.*', 'base_.*')}, {_greedy('copies')}, {_tags('documents', 'doc_id', 'text', 'NULL')} SELECT r.doc_id, score, tags, CASE WHEN similar_to IS NOT NULL THEN 'duplicate' WHEN score < 30 THEN 'low_score' ELSE 'kept' END AS status, similar_to FROM resolved r JOIN scored s ON s.id = r.doc_id JOIN tagged t ON t.id = r.doc_id",
         "note_tag_names": f"SELECT tag, count(*) AS notes FROM ({tag_rows}) GROUP BY tag",

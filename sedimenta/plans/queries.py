@@ -12,7 +12,8 @@ from sedimenta.functions import text as T
 from sedimenta.operators import components, scoring, simhash, tagging, tfidf, versions
 from sedimenta.plans import extract as X
 from sedimenta.plans import notes as N
-from sedimenta.sources import files, sinks
+from sedimenta.plans import pipeline
+from sedimenta.sources import files, pictures, recognition, sinks
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,10 +164,81 @@ def image_references(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _deck(df: DataFrame) -> DataFrame:
+    """Adds ``deck``, a text of three slides made of a record's title, format and path."""
+    anchor = lambda n: f"<!-- Slide number: {n} -->\n\n"
+    some = lambda name: F.coalesce(name, F.lit(""))
+    return df.withColumn("deck", F.concat(F.lit(anchor(1)), some("title"), F.lit("\n\n" + anchor(2)), some("doc_format"), F.lit("\n\n" + anchor(3)), some("path")))
+
+
 def slide_anchors(spark: SparkSession, directory: str) -> DataFrame:
-    said = F.create_map(F.lit(1), F.lit("[DK-标题]T[DK-结构]S[DK-正文]B"), F.lit(2), F.lit("[图片识别失败: x]"))
-    done = slides.inject_pages(F.coalesce("content", F.lit("")), said)
-    return _mirror(spark, directory).select("file_id", F.array_join(slides.failed_pages(done).cast("array<string>"), ",").alias("failed_pages"), F.instr(done, "📊 **T**（S）").alias("first_page_at"))
+    said = F.create_map(F.lit(1), F.lit("[DK-标题]T[DK-概述]O[DK-结构]S[DK-正文]B"), F.lit(2), F.lit("[图片识别失败: x]"))
+    done = slides.inject_pages(F.col("deck"), said)
+    return _deck(_mirror(spark, directory)).select("file_id", F.array_join(slides.failed_pages(done).cast("array<string>"), ",").alias("failed_pages"), F.md5(done).alias("injected"))
+
+
+def slide_layouts(spark: SparkSession, directory: str) -> DataFrame:
+    notes = F.create_map(F.lit(2), F.array(F.lit("标题(整页宽)"), F.coalesce("origin", F.lit("-"))))
+    return _deck(_mirror(spark, directory)).select("file_id", F.md5(slides.inject_layout(F.col("deck"), notes)).alias("with_layout"))
+
+
+def shape_notes(spark: SparkSession, directory: str) -> DataFrame:
+    n = F.col("file_id").cast("long")
+    shape = F.struct(
+        F.when(n % 7 == 0, "TITLE").when(n % 7 == 1, "BODY").alias("placeholder"), (n % 5 == 0).alias("chart"), F.when(n % 3 == 0, F.lit(2)).alias("rows"), F.lit(4).alias("columns"),
+        F.when(n % 2 == 0, F.lit(13)).otherwise(F.lit(1)).alias("kind"), F.coalesce("title", F.lit(" ")).alias("text"),
+    )
+    region = slides.shape_region(n * 37 % 1000, n * 53 % 1000, n * 71 % 1000, F.when(n % 11 != 0, n * 29 % 1000), F.lit(1000), F.lit(1000))
+    return _mirror(spark, directory).select("file_id", slides.shape_role(shape).alias("role"), region.alias("region"))
+
+
+def image_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    text = F.coalesce("content", F.lit(""))
+    pairs = images.image_map(text, F.array(F.lit("a.png"), F.lit("b.png")), F.lit("f"))
+    return _mirror(spark, directory).select("file_id", F.size(pairs).alias("pairs"), F.md5(images.replace_references(text, pairs)).alias("replaced"))
+
+
+def image_notes(spark: SparkSession, directory: str) -> DataFrame:
+    text = F.coalesce("content", F.lit(""))
+    pairs = images.image_map(text, F.array(F.lit("a.png")), F.lit("f"))
+    noted = images.inject_recognised(text, pairs, F.create_map(F.lit("a.png"), F.lit("a chart")))
+    return _mirror(spark, directory).select("file_id", F.md5(noted).alias("noted"), F.md5(images.drop_positions(text, F.array(F.lit(0)))).alias("dropped"))
+
+
+def name_order(spark: SparkSession, directory: str) -> DataFrame:
+    page = slides.page_number(F.concat(F.lit("x/page"), F.col("file_id").cast("string"), F.when(F.col("file_id") % 2 == 0, ".png").otherwise(".jpg")))
+    return _mirror(spark, directory).select("file_id", images.sort_key(F.col("path")).alias("k"), page.alias("page")).select("file_id", "k.none", "k.number", "k.name", "page")
+
+
+def text_layers(spark: SparkSession, directory: str) -> DataFrame:
+    return files.text_layer(_documents(spark, directory), "source", "text")
+
+
+def skip_existing(spark: SparkSession, directory: str) -> DataFrame:
+    mirror = _mirror(spark, directory).select("file_id", F.col("path").alias("output"))
+    existing = _mirror(spark, directory).filter("file_id % 3 = 0").select(F.col("path").alias("relative"))
+    return pipeline.missing(mirror, existing, "output").select("file_id")
+
+
+def recognition_reasons(spark: SparkSession, directory: str) -> DataFrame:
+    n = F.col("file_id").cast("long")
+    flat = F.when(n % 5 != 0, F.array(*((n * k % 40).cast("double") for k in (1, 3, 7))))
+    verdict = recognition.worth_recognising(F.when(n % 13 != 0, n * 97 % 3000), F.when(n % 7 != 0, n * 11 % 300), F.when(n % 7 != 0, n * 17 % 300), flat)
+    return pictures.reasons(_mirror(spark, directory).select(verdict.alias("v")).select("v.*"))
+
+
+def first_pages(spark: SparkSession, directory: str) -> DataFrame:
+    n = F.col("file_id")
+    named = F.concat(F.lpad(n.cast("string"), 8, "0"), F.lit("/page"), (n % 20).cast("string"), F.lit(".png"))
+    pages = _mirror(spark, directory).select(F.coalesce("doc_format", F.lit("-")).alias("file"), named.alias("path"), F.lit(None).cast("binary").alias("content"))
+    return recognition.numbered_pages(pages, "file").select("file", "page", "path")
+
+
+def extract_metadata(spark: SparkSession, directory: str) -> DataFrame:
+    detail = F.struct(*(F.lit(v).alias(n) for n, v in {"length": 12.34, "structure": 50.05, "freshness": 0.25, "keywords": 100.0, "uniqueness": 66.66}.items()))
+    tags = F.array(F.coalesce("doc_format", F.lit("")), F.coalesce("origin", F.lit("")))
+    made = frontmatter.with_scores(F.coalesce("content", F.lit("")), F.coalesce("score", F.lit(0)), detail, tags)
+    return _mirror(spark, directory).select("file_id", F.md5(made).alias("with_scores"))
 
 
 def incremental_changed(spark: SparkSession, directory: str) -> DataFrame:

@@ -19,8 +19,9 @@ def fold(pairs, score):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_resolve_is_the_fold_in_order(spark, seed):
+@pytest.mark.parametrize("seed,part", [(0, 10**6), (1, 10**6), (2, 10**6), (3, 10**6), (1, 30), (3, 0)])
+def test_resolve_is_the_fold_in_order(spark, monkeypatch, seed, part):
+    monkeypatch.setattr(dedup, "PART", part)  # larger parts are resolved in rounds
     rng = random.Random(seed)
     n = 60
     score = [rng.choice([rng.randint(0, 100), 50]) for _ in range(n)]
@@ -43,7 +44,9 @@ def test_resolve_examples(spark):
     assert {r.loser: r.winner for r in dedup.resolve(upset, high).collect()} == {1: 2}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [tuple(rng.sample(range(100, 160), 2)) for _ in range(40)] + [(7, 7), (200, 201), (201, 200)]
     parent = {}
