@@ -71,12 +71,16 @@ def keyword_hits(text: Column) -> Column:
     forms of i, k and s in another case count as these.
     """
     text = F.coalesce(text, F.lit(""))
-    low = F.lower(F.translate(text, "ıİſK", "iisk"))
-    total = F.lit(0)
-    for term in KEY_TERMS:
-        where = low if term.isascii() else text
-        total = total + ((F.length(where) - F.length(F.replace(where, F.lit(term.lower())))) / len(term)).cast("int")
-    return total
+
+    def count(both: Column) -> Column:
+        total = F.lit(0)
+        for term in KEY_TERMS:
+            where = both["low"] if term.isascii() else both["text"]
+            total = total + ((F.length(where) - F.length(F.replace(where, F.lit(term.lower())))) / len(term)).cast("int")
+        return total
+
+    both = F.struct(F.lower(F.translate(text, "ıİſK", "iisk")).alias("low"), text.alias("text"))
+    return F.transform(F.array(both), count)[0]  # the lower-cased text is made once
 
 
 def keyword_score(text: Column) -> Column:
