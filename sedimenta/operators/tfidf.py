@@ -1,8 +1,8 @@
 """TF-IDF vectors and the cosine similarity join with a lossless prefix filter.
 
 A pair reaches cosine t only if the two unit vectors share a term among the rarest terms whose removal would leave a
-norm below t. Such prefixes are joined on the term; the product at a common term plus the product of the norms after it bound
-the cosine from above in the join itself, and again per pair before vectors are fetched. Vectors are non-negative after taking
+norm below t. Such prefixes are joined on the term; partial products plus a product of the remaining norms bound
+the cosine from above before vectors are fetched. Vectors are non-negative after taking
 absolute weights: a term's weights in two documents have the same sign.
 """
 
@@ -59,7 +59,7 @@ def weights(df: DataFrame, key: str, text: str) -> DataFrame:
 def vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Unit vectors as sorted arrays ``terms`` (64-bit hashes) and ``values``, with their prefixes.
 
-    ``heads`` and ``head_values`` are the prefix, ``afters`` the norms of what follows each of its terms. Documents of zero norm have no row.
+    ``heads`` and ``head_values`` are the prefix, ``afters`` the norms of what follows each of its terms, ``rest`` of what follows it. Documents of zero norm have no row.
     """
     long = weights(df, key, text).filter("weight != 0")
     packed = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("term"), F.abs("weight").alias("weight")))).alias("v"))
@@ -68,7 +68,7 @@ def vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, values, heads, head_values, afters = [], [], [], [], []
+            terms, values, heads, head_values, afters, rests = [], [], [], [], [], []
             for t, w in zip(batch.column(1), batch.column(2)):
                 t, w = np.array(t.values), np.array(w.values)
                 w = w / np.sqrt((w * w).sum())
@@ -78,13 +78,14 @@ def vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
                 terms.append(t[order]), values.append(w[order]), heads.append(t[:size]), head_values.append(w[:size])
                 left = np.append(left, 0.0)
                 afters.append(left[1 : size + 1])
+                rests.append(float(left[size]))
             lists = lambda arrays, kind: pa.array(arrays, pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(terms, pa.int64()), lists(values, pa.float64()), lists(heads, pa.int64()), lists(head_values, pa.float64()), lists(afters, pa.float64())],
-                [key, "terms", "values", "heads", "head_values", "afters"],
+                [batch.column(0), lists(terms, pa.int64()), lists(values, pa.float64()), lists(heads, pa.int64()), lists(head_values, pa.float64()), lists(afters, pa.float64()), pa.array(rests)],
+                [key, "terms", "values", "heads", "head_values", "afters", "rest"],
             )
 
-    return plain.mapInArrow(run, f"`{key}` {kind}, terms array<long>, values array<double>, heads array<long>, head_values array<double>, afters array<double>")
+    return plain.mapInArrow(run, f"`{key}` {kind}, terms array<long>, values array<double>, heads array<long>, head_values array<double>, afters array<double>, rest double")
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -98,23 +99,22 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     reps = copies(df, key, text).filter(F.col(key) == F.col("rep_id")).select(key)
     packed = cut(vectors(df, key, text, threshold).join(reps, key, "left_semi"))
     head = F.explode(F.arrays_zip("heads", "head_values", "afters")).alias("e")
-    entries = packed.select(key, head).select(key, F.col("e.heads").alias("term"), F.col("e.head_values").alias("w"), F.col("e.afters").alias("after"))
-    side = lambda s, rows: rows.select("term", "slot", *(F.col(c).alias(f"{n}_{s}") for c, n in ((key, "id"), ("w", "w"), ("after", "after"))))
-    # The bound at a common term (its product and the product of the norms after it) falls from term to term, and at a true
-    # pair's first common term it reaches the threshold. So what passes are the first common terms of a pair, and what follows
-    # the last of them is bounded by the norms after it. Lists longer than HOT are split, so that no term gathers all its
-    # pairs in one task.
+    entries = packed.select(key, "rest", head).select(key, "rest", F.col("e.heads").alias("term"), F.col("e.head_values").alias("w"), F.col("e.afters").alias("after"))
+    side = lambda s, rows: rows.select("term", "slot", *(F.col(c).alias(f"{n}_{s}") for c, n in ((key, "id"), ("rest", "rest"), ("w", "w"), ("after", "after"))))
+    # At a true pair's first common term its product and the product of the norms after it reach the threshold. Lists longer
+    # than HOT are split, so that no term gathers all its pairs in one task.
     first = F.col("w_a") * F.col("w_b") + F.col("after_a") * F.col("after_b") >= threshold - SLACK
-    lists = entries.groupBy("term").agg(F.count("*").alias("n"), F.max("w").alias("most"), F.max("after").alias("most_after"))
-    lists = lists.filter("n > 1")
-    entries = cut(entries.join(lists, "term").filter(F.col("w") * F.col("most") + F.col("after") * F.col("most_after") >= threshold - SLACK).drop("most", "most_after"))
+    entries = cut(entries.join(entries.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1"), "term"))
     slots = F.ceil(F.col("n") / HOT).cast("int")
     own = F.pmod(F.xxhash64(key, F.lit(19)), slots).cast("int")
     left = side("a", entries.withColumn("slot", own))
     right = side("b", entries.withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))))
-    met = left.join(right, ["term", "slot"]).filter("id_a < id_b").filter(first)
-    met = met.groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"))
-    likely = met.filter(F.col("part") + F.col("after_a") * F.col("after_b") >= threshold - SLACK).select("id_a", "id_b")
+    met = left.join(right, ["term", "slot"]).filter("id_a < id_b")
+    met = met.groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.max("rest_a").alias("rest_a"), F.max("rest_b").alias("rest_b"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"), F.max(first).alias("able"))
+    # Terms are in one order everywhere. What the prefixes don't show comes after the last term that they share, and lies
+    # wholly in the suffix that starts first.
+    bound = F.col("part") + F.greatest(F.col("rest_a") * F.col("after_b"), F.col("rest_b") * F.col("after_a"))
+    likely = met.filter(F.col("able") & (bound >= threshold - SLACK)).select("id_a", "id_b")
     vector = lambda s: packed.select(F.col(key).alias(f"id_{s}"), F.col("terms").alias(f"terms_{s}"), F.col("values").alias(f"values_{s}"))
     both = likely.join(vector("a"), "id_a").join(vector("b"), "id_b").select("id_a", "id_b", "terms_a", "values_a", "terms_b", "values_b")
     kind = df.select(key).schema[0].dataType.simpleString()
