@@ -8,6 +8,7 @@ in R along the most likely path. A token is garbled if some channel explains it
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections import Counter
@@ -138,11 +139,14 @@ class Channel:
         self.model = model
         self.total = sum(model.values()) + 1
         self.floor = math.log(0.3 / self.total)
+        self.logs = {word: math.log(n / self.total) for word, n in model.items()}
         self.writers = _writers()
+        self.maps = {wrong: {ord(char): byte[0] for char, byte in table.items() if len(char) == 1} for wrong, table in self.writers.items()}
         self.known: dict[str, tuple[float, str | None, str]] = {}
         self.patterns: dict[str, list[str]] | None = None
         self.fitting: dict[str, dict[tuple, list[str]]] = {}
-        self.preceding: dict[str, dict[str, int]] | None = None
+        self.preceding: dict[str, dict[str, float]] | None = None
+        self.alone: dict[str, float] = {}
         self.chars: Counter[str] = Counter()
         for word, n in model.items():
             for char in word:
@@ -151,20 +155,27 @@ class Channel:
 
     def score(self, text: str) -> tuple[float, int, int]:
         """Log-likelihood of the words beyond ASCII, how many there are, and how many of them are unknown."""
-        total, unknown, words = 0.0, 0, words_of(text)
+        words = words_of(text)
+        known = self.logs
+        total, unknown = 0.0, 0
         for word in words:
-            n = self.model.get(word, 0)
-            if n:
-                total += math.log(n / self.total)
-            else:
+            gained = known.get(word)
+            if gained is None:
                 total += self.floor - 6.0 * max(0, len(word) - 4)
                 unknown += 1
+            else:
+                total += gained
         return total, len(words), unknown
 
     def _bytes(self, text: str, wrong: str) -> list[int] | None:
         """The bytes of ``text`` in ``wrong``; None stands for a lost byte. Nothing if it can't be written so."""
         table = self.writers.get(wrong)
         if table is not None:
+            if LOST not in text:
+                try:
+                    return list(codecs.charmap_encode(text, "strict", self.maps[wrong])[0])
+                except UnicodeEncodeError:
+                    return None
             out: list[int | None] = []
             for char in text:
                 byte = table.get(char)
@@ -192,7 +203,7 @@ class Channel:
             except UnicodeDecodeError:
                 text = bytes(data).decode(right, "replace")
                 spoilt = text.count(LOST)
-                whole = sum(c >= "\x80" for c in text) - spoilt
+                whole = len(text) - len(text.encode("ascii", "ignore")) - spoilt
                 if spoilt == 1 and text.endswith(LOST) and whole:
                     return text[:-1]
                 return text if whole >= 4 * spoilt else None
@@ -206,11 +217,13 @@ class Channel:
         fits = self._fits(right)
         size, spoilt = len(data), 1.5 * self.floor
         states: dict[int, dict[str, tuple[float, str]]] = {0: {"": (0.0, "")}}
+        precede, alone, nothing = self._before(), self.alone, {}
+        unseen = math.log(0.3 / self.total) - 6.0
         for at in range(size):
-            here = sorted(states.pop(at, {}).values(), key=lambda x: -x[0])
-            if not here:
+            tails = states.pop(at, None)
+            if not tails:
                 continue
-            tails = {x[1][-1:]: x for x in here}
+            here = sorted(tails.values(), key=lambda x: -x[0])
             first = data[at]
             moves: list[tuple[int, str, float]] = []
             if first is None:
@@ -233,29 +246,36 @@ class Channel:
             for end, char, cost in moves:
                 kept = states.setdefault(end, {})
                 if char and char >= "\x80" and char != LOST:
-                    before = self._before().get(char, {})
-                    known = before.keys() & tails.keys()
-                    reached = [(tails[tail], math.log(before[tail] / self.total)) for tail in known]
-                    other = next((x for x in here if x[1][-1:] not in known), None)  # all others gain the same
-                    if other is not None:
-                        reached.append((other, math.log((self.chars.get(char, 0) + 0.3) / self.total) - 6.0))
-                else:
-                    reached = [(x, cost) for x in here]
-                for (score, text), gained in reached:
-                    longer = text if char == LOST and text.endswith(LOST) else text + char
-                    tail = longer[-1:]
-                    if tail not in kept or kept[tail][0] < score + gained:
-                        kept[tail] = (score + gained, longer)
+                    before = precede.get(char, nothing)
+                    if len(before) < len(tails):
+                        reached = [(tails[tail], gained) for tail, gained in before.items() if tail in tails]
+                    else:
+                        reached = [(x, before[tail]) for tail, x in tails.items() if tail in before]
+                    if len(reached) < len(tails):  # the best of the others: all of them gain the same
+                        other = next(x for x in here if x[1][-1:] not in before)
+                        reached.append((other, alone.get(char, unseen)))
+                    best = None
+                    for x, gained in reached:
+                        if best is None or x[0] + gained > best[0]:
+                            best = (x[0] + gained, x[1])
+                    if char not in kept or kept[char][0] < best[0]:
+                        kept[char] = (best[0], best[1] + char)
+                    continue
+                for score, text in here:
+                    tail = char or text[-1:]
+                    if tail not in kept or kept[tail][0] < score + cost:
+                        kept[tail] = (score + cost, text if char == LOST and text.endswith(LOST) else text + char)
         ends = states.get(size)
         return max(ends.values())[1] if ends else None
 
-    def _before(self) -> dict[str, dict[str, int]]:
-        """For each character, the characters (or nothing) that the model has before it, and how often."""
+    def _before(self) -> dict[str, dict[str, float]]:
+        """For each character, the characters (or nothing) that the model has before it, and the log share of the pair."""
         if self.preceding is None:
             self.preceding = {}
             for word, n in self.model.items():
                 if len(word) <= 2:
-                    self.preceding.setdefault(word[-1], {})[word[:-1]] = n
+                    self.preceding.setdefault(word[-1], {})[word[:-1]] = math.log(n / self.total)
+            self.alone = {char: math.log((n + 0.3) / self.total) - 6.0 for char, n in self.chars.items()}
         return self.preceding
 
     def _fits(self, right: str) -> dict[tuple, list[str]]:
@@ -332,10 +352,12 @@ class Channel:
                 read = self._read(data, right) if data else None
                 if read is None or read == text:
                     break
+                spoilt = not read.isprintable() and any(not c.isprintable() and c not in _BLANK and c != LOST for c in read)
+                if spoilt and right != "utf-8":
+                    break  # no layer below it could be better
                 score, words, missing = self.score(read)
                 missing += read.count(LOST)
                 score += self.floor * read.count(LOST)
-                spoilt = not read.isprintable() and any(not c.isprintable() and c not in _BLANK and c != LOST for c in read)
                 if right not in ("utf-8", "gbk", "big5"):
                     spoilt = spoilt or missing > 0 or not words or _STUCK(read) is not None
                 if not spoilt and not lost and all(c.isalnum() or c < "\x80" for c in token):  # symbols don't come from letters, but for those of three bytes in UTF-8
