@@ -167,5 +167,8 @@ def page_texts(data: bytes) -> list[str]:
 
 
 def pdf_markdown(data: bytes) -> str:
-    """The text of all pages, pages apart by blank lines."""
-    return "\n\n".join(text for text in page_texts(data) if text)
+    """The text of all pages, pages apart by blank lines; a file without a page is broken."""
+    texts = page_texts(data)
+    if not texts:
+        raise ValueError("no page")
+    return "\n\n".join(text for text in texts if text)
