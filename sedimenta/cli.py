@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(name, action="store_true")
 
     def exporting(p: argparse.ArgumentParser, default: str | None = "markdown") -> None:
-        p.add_argument("-t", "--target", choices=["obsidian", "markdown", "memomind"], default=default)
+        p.add_argument("-t", "--target", choices=["obsidian", "markdown", "notes"], default=default)
         for name in ("--vault", "--api-url", "--api-key", "--db"):
             p.add_argument(name)
         p.add_argument("--workspace", default="default")
@@ -92,7 +92,7 @@ def _lacking(args: argparse.Namespace) -> str | None:
     """What an export target needs and was not given."""
     if args.target == "obsidian" and not args.vault:
         return "--vault is needed"
-    if args.target == "memomind" and not (args.api_url or args.db):
+    if args.target == "notes" and not (args.api_url or args.db):
         return "--api-url or --db is needed"
     return None
 
@@ -138,7 +138,7 @@ def main(argv: list[str] | None = None) -> int:
             if wanted:
                 _reports(spark, args)
         else:
-            print(pipeline.retry_slide(spark, source, recognition.ModelClient(args.ocr_api_url, args.ocr_api_key, args.ocr_model or "glm-4.6v-flash")))
+            print(pipeline.retry_slide(spark, source, recognition.ModelClient(args.ocr_api_url, args.ocr_api_key, args.ocr_model or "")))
     except (ValueError, NotImplementedError, OSError) as failure:
         print(f"error: {failure}", file=sys.stderr)
         return 1

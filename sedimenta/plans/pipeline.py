@@ -204,7 +204,7 @@ def export_tree(spark: SparkSession, folder: str, target: str = "markdown", outp
         if not vault:
             raise ValueError("a vault is needed")
         wrote = sinks.write_tree(sinks.vault(docs, "relative", "content", F.date_format(F.current_date(), "yyyy-MM-dd")), vault)
-    elif target == "memomind":
+    elif target == "notes":
         if db:
             return {"errors": 0} | sinks.to_sqlite(docs, db, workspace, "relative")
         if not api_url:

@@ -226,9 +226,9 @@ def test_convert_extract_export(spark, source, tmp_path):
     got = pipeline.export_tree(spark, str(out), "obsidian", vault=str(tmp_path / "vault"))
     assert got == {"exported": len(written), "errors": 0} and len(list((tmp_path / "vault" / "sedimenta").rglob("*.md"))) == len(written)
     assert pipeline.export_tree(spark, str(out))["exported"] == len(written) and (tmp_path / "exported").is_dir()
-    posted = pipeline.export_tree(spark, str(out), "memomind", api_url="http://x", send=lambda *_: None)
+    posted = pipeline.export_tree(spark, str(out), "notes", api_url="http://x", send=lambda *_: None)
     assert posted == {"exported": len(written), "errors": 0}
-    for lacking in ("obsidian", "memomind"):
+    for lacking in ("obsidian", "notes"):
         with pytest.raises(ValueError):
             pipeline.export_tree(spark, str(out), lacking)
 
