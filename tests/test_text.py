@@ -133,3 +133,35 @@ def test_tfidf_equals_brute_force(spark):
                 and sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) / (norm[i] * norm[j]) >= threshold}
         assert {(r.id_a, r.id_b) for r in tfidf.similar_pairs(df, "id", "text", threshold).collect()} == want
     assert tfidf.copies(df, "id", "text").filter("id != rep_id").orderBy("id").collect()[-1].asDict() == {"id": len(texts) - 1, "rep_id": 0}
+
+
+def _related(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["v" + a + b for a in "abcdefghij" for b in "abcdefghij"]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(20)]
+        texts += [" ".join(base), " ".join(base[:-1] + [rng.choice(words)]), " ".join(base[:-4] + [rng.choice(words) for _ in range(4)])]
+    return spark.createDataFrame([(f"k{i:03}", t) for i, t in enumerate([*texts, "", None, texts[3], "alone"])], "id string, text string").repartition(3)
+
+
+def test_tfidf_pairs_meet_in_blocks_without_a_shuffle_of_candidates(spark):
+    pairs = tfidf.similar_pairs(_related(spark), "id", "text", 0.6)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tfidf_blocks_vocabulary_and_copies_leave_pairs_equal(spark, monkeypatch):
+    rows = _related(spark)
+    pairs = lambda: sorted((r.id_a, r.id_b, round(r.cosine, 9)) for r in tfidf.similar_pairs(rows, "id", "text", 0.6).collect())
+    want = pairs()
+    assert len(want) > 60 and all(a < b for a, b, _ in want)
+    monkeypatch.setattr(tfidf, "BLOCK", 17)
+    monkeypatch.setattr(tfidf, "AT_ONCE", 3)
+    monkeypatch.setattr(tfidf, "FURTHER", 0.0)
+    assert pairs() == want
+    monkeypatch.setattr(tfidf, "VOCABULARY", 0)
+    monkeypatch.setattr(tfidf, "BROADCAST_IDS", 0)
+    assert pairs() == want
+    assert tfidf.similar_pairs(rows.filter("1 = 0"), "id", "text").count() == 0
