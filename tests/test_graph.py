@@ -76,3 +76,16 @@ def test_pipeline_statuses(spark):
     all_alike = X.duplicates_tfidf(df.withColumn("score", df.id.cast("int")), "id", "text", 0)
     assert {r.id for r in all_alike.filter("status = 'kept'").collect()} == {6}
     assert X.extract(df.limit(0), "id", "text").count() == 0
+
+
+def test_duplicates_of_small_blocks_are_those_of_one(spark, monkeypatch):
+    from sedimenta.operators import tfidf
+
+    base = [" ".join(f"{c}{d}word" for d in "abcdefgh") for c in "qrstuv"]
+    rows = [(i, t, i % 7) for i, t in enumerate([*base, *(t + " extra" for t in base), *base])]
+    df = spark.createDataFrame(rows, "id long, text string, score int")
+    found = lambda: {r.id: r.similar_to for r in X.duplicates_tfidf(df, "id", "text", 0.8).collect()}
+    want = found()
+    assert sum(v is not None for v in want.values()) == 12
+    monkeypatch.setattr(tfidf, "BLOCK", 2)
+    assert found() == want
