@@ -89,3 +89,14 @@ def test_duplicates_of_small_blocks_are_those_of_one(spark, monkeypatch):
     assert sum(v is not None for v in want.values()) == 12
     monkeypatch.setattr(tfidf, "BLOCK", 2)
     assert found() == want
+
+
+def test_extract_writes_no_texts_to_the_shared_folder(spark, monkeypatch):
+    kept = []
+    cut = X.cut
+    monkeypatch.setattr(X, "cut", lambda frame: kept.append(frame.columns) or cut(frame))
+    df = spark.createDataFrame([(1, "alpha beta gamma", "a.md"), (2, "alpha beta gamma", "b.md"), (3, None, "c.md")], "id long, text string, path string")
+    for merge in (False, True):
+        done = X.extract(df, "id", "text", path="path", merge=merge)
+        assert {r.id: r.similar_to for r in done.collect()} == {1: None, 2: 1, 3: None} and {"text", "path"} <= {*done.columns}
+    assert kept and not any("text" in columns for columns in kept)
