@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm import shingles as S
-from sedimenta.llm.sigtree import SignatureTree, alike
+from sedimenta.llm.sigtree import AT_ONCE, SignatureTree, alike
 from sedimenta.operators.components import components
 from sedimenta.session import cut, parallelism, release
 
@@ -129,7 +129,7 @@ def _compare(run: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold
         starts = edges[:-1][lengths == length]
         if length <= SHORT_RUN:
             i, j = np.triu_indices(length, 1)
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, AT_ONCE // len(i))
             for at in range(0, len(starts), step):
                 a = (starts[at : at + step, None] + i).ravel()
                 b = (starts[at : at + step, None] + j).ravel()

@@ -13,6 +13,12 @@ from itertools import chain
 import numpy as np
 
 FIND = re.compile(r"[一-鿿]|[^\W_一-鿿]+").findall
+#: Of each 16-bit character: 1 if it belongs to a word, 2 if it is a word by itself.
+KINDS = np.fromiter((chr(c).isalnum() for c in range(1 << 16)), np.uint8, 1 << 16)
+HAN, AFTER_HAN = 0x4E00, 0xA000
+KINDS[HAN:AFTER_HAN] = 2
+#: Characters that are cut into words at once, a bound on memory.
+PIECE = 1_000_000
 #: Word hashes that a worker remembers before it starts afresh: a bound on memory without effect on results.
 MEMORY = 500_000
 #: Comparisons of a sketch: minima of which 4 bits are kept.
@@ -31,34 +37,91 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = made = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return made
+
+
 class Shingler:
     """Turns texts into shingles; one per worker."""
 
     def __init__(self, width: int):
         self.width = width
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
+        self.han, self.met = np.zeros(AFTER_HAN - HAN, np.uint64), np.zeros(AFTER_HAN - HAN, bool)
+
+    def _found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words of each lower-cased text, and the hashes of all; words found one by one."""
+        words = [FIND(t) for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        return counts, np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+
+    def _hashed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_found``, for all characters at once: a word is looked up once, however often the texts hold it."""
+        joined = f" {' '.join(texts)} "
+        units = np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), np.uint16)
+        if len(units) != len(joined):  # some text holds characters of more than 16 bits
+            if len(texts) == 1:
+                return self._found(texts)
+            half = len(texts) // 2
+            (low, hashes), (high, others) = self._hashed(texts[:half]), self._hashed(texts[half:])
+            return np.append(low, high), np.append(hashes, others)
+        kinds = KINDS[units]
+        inner, han = np.flatnonzero(kinds == 1), np.flatnonzero(kinds == 2)
+        edges = np.flatnonzero(np.diff(kinds == 1)) + 1
+        begins, ends = edges[::2], edges[1::2]
+        place = np.zeros(len(units), np.int64)
+        place[begins] = place[han] = 1
+        place = np.cumsum(place)
+        hashes = np.empty(place[-1], np.uint64)
+        if len(han):
+            letters = units[han] - np.uint16(HAN)
+            for c in np.unique(letters[~self.met[letters]]).tolist():
+                self.han[c], self.met[c] = self.known[chr(HAN + c)], True
+            hashes[place[han] - 1] = self.han[letters]
+        if len(begins):
+            sizes = ends - begins
+            offsets = inner - np.repeat(begins, sizes)
+            letters = units[inner]
+            keys = np.add.reduceat(_mix(offsets.astype(np.uint64) << np.uint64(16) | letters), np.cumsum(sizes) - sizes)
+            _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+            if (sizes != sizes[first][of]).any() or (letters != units[np.repeat(begins[first][of], sizes) + offsets]).any():  # equal keys of different words
+                return self._found(texts)
+            known = [self.known[joined[x:y]] for x, y in zip(begins[first].tolist(), ends[first].tolist())]
+            hashes[place[begins] - 1] = np.array(known, np.uint64)[of]
+        return np.diff(place[np.cumsum([0, *(len(t) + 1 for t in texts)])]), hashes
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct shingles of each text; empty for a text with fewer words than the width."""
+        if len(texts) > 1 and sum(map(len, texts)) > PIECE:
+            half = len(texts) // 2
+            return self.many(texts[:half]) + self.many(texts[half:])
         if len(self.known) > MEMORY:
             self.known.clear()
-        words = [FIND(t.lower()) for t in texts]
-        for word in set(chain.from_iterable(words)).difference(self.known):
-            self.known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
-        if len(flat) >= self.width:
-            last = len(flat) - self.width + 1
-            hashed = np.zeros(last, np.uint64)
-            for k in range(self.width):
-                hashed = _mix(hashed + flat[k : k + last] + np.uint64(k + 1))
-        else:
-            hashed = np.zeros(0, np.uint64)
-        out, start = [], 0
-        for count in counts.tolist():
-            out.append(np.unique(hashed[start : start + count - self.width + 1]) if count >= self.width else hashed[:0])
-            start += count
-        return out
+        counts, flat = self._hashed([t.lower() for t in texts])
+        if len(flat) < self.width:
+            return [np.zeros(0, np.uint64) for _ in texts]
+        last = len(flat) - self.width + 1
+        hashed = np.zeros(last, np.uint64)
+        for k in range(self.width):
+            hashed = _mix(hashed + flat[k : k + last] + np.uint64(k + 1))
+        # Those that lie within one text are sorted text by text; repeats are dropped for all texts at once.
+        sizes = np.maximum(counts - self.width + 1, 0)
+        ends = np.cumsum(sizes)
+        inside = hashed[np.arange(ends[-1]) + np.repeat(np.cumsum(counts) - counts - ends + sizes, sizes)]
+        start, starts = 0, []
+        for end in ends.tolist():
+            inside[start:end].sort()
+            if end > start:
+                starts.append(start)
+            start = end
+        kept = np.ones(len(inside), bool)
+        kept[1:] = inside[1:] != inside[:-1]
+        kept[starts] = True
+        return np.split(inside[kept], np.append(0, np.cumsum(kept))[ends[:-1]])
 
 
 def signatures(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,8 @@ import numpy as np
 from sedimenta.llm.shingles import LANES, agreeing
 
 LEAF, FANOUT = 32, 4
+#: Pairs of records compared at once, few enough for a processor's cache.
+AT_ONCE = 32_768
 
 
 @dataclass
@@ -66,12 +68,13 @@ class SignatureTree:
                 real = (first < many) & (second < many) & (first <= second)
                 a, b = first[real], second[real]
         found_a, found_b = [], []
-        for x, y in zip(a.tolist(), b.tolist()):
-            i = np.arange(x * LEAF, min((x + 1) * LEAF, len(self.sizes)))
-            j = np.arange(y * LEAF, min((y + 1) * LEAF, len(self.sizes)))
-            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+        grid, last, step = np.arange(LEAF), len(self.sizes), max(1, AT_ONCE // LEAF**2)
+        for at in range(0, len(a), step):
+            x, y = a[at : at + step, None, None] * LEAF, b[at : at + step, None, None] * LEAF
+            i, j = np.broadcast_arrays(x + grid[:, None], y + grid)
+            real = (i < j) & (j < last)
+            i, j = i[real], j[real]
             near = alike(self.sizes, self.sketches, i, j, threshold, least)
-            near &= i < j
             found_a.append(i[near]), found_b.append(j[near])
         if not found_a:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -81,4 +84,7 @@ class SignatureTree:
 def alike(sizes: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, least: int) -> np.ndarray:
     """Whether records may be similar by their sizes and sketches."""
     a, b = sizes[i], sizes[j]
-    return (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (agreeing(sketches[i], sketches[j]) >= least)
+    good = np.minimum(a, b) >= threshold * np.maximum(a, b)
+    sized = np.flatnonzero(good)
+    good[sized] = agreeing(sketches[i[sized]], sketches[j[sized]]) >= least
+    return good

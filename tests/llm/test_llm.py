@@ -211,6 +211,52 @@ def test_joint_recall_at_the_threshold():
     assert forest_keeps * (1 - sketch_loses) >= 0.994
 
 
+def test_shingles_look_a_word_up_once_a_batch():
+    class Counted(type(shingles.Shingler(3).known)):
+        def __missing__(self, word):
+            self[word] = made = len(self) + 1
+            return made
+
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    asked, shingler = [], shingles.Shingler(3)
+    shingler.known = Counted({w: i for i, w in enumerate(WORDS)})
+    assert len(shingler.many([" ".join(WORDS)] * 50)) == 50 and sorted(asked) == sorted(WORDS)
+
+
+@given(st.lists(st.text("abX9_ -\t\x1c\xa0éßİſ一鿿ꀀ二²Ⅷ٣𝒳\ud800", max_size=30), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_shingles_are_those_of_the_words_found(batch):
+    shingler = shingles.Shingler(2)
+    whole = shingler.many(batch)
+    one_by_one = shingles.Shingler(2)
+    one_by_one._hashed = one_by_one._found
+    assert [x.tolist() for x in whole] == [x.tolist() for x in one_by_one.many(batch)]
+    assert [len(x) for x in whole] == [len(sets(t, 2)) for t in batch]
+
+
+def test_pairs_are_compared_in_pieces(monkeypatch):
+    from sedimenta.llm import sigtree
+
+    made = shingles.Shingler(3).many(texts(9, 40, 8))
+    _, sketches = shingles.signatures(made)
+    sizes, run, least = np.array([len(s) for s in made], np.int32), np.repeat([1, 2, 3, 3], 80), shingles.least_agreeing(0.5)
+    pairs = lambda: {(min(p), max(p)) for p in zip(*(x.tolist() for x in neardup._compare(run, sizes, sketches, 0.5, least)))}
+    whole, asked, alike = pairs(), [], sigtree.alike
+
+    def counted(sizes, sketches, i, j, *rest):
+        asked.append(len(i))
+        return alike(sizes, sketches, i, j, *rest)
+
+    for module in (neardup, sigtree):
+        monkeypatch.setattr(module, "alike", counted)
+        monkeypatch.setattr(module, "AT_ONCE", 4096, raising=False)
+    monkeypatch.setattr(neardup, "SHORT_RUN", 80)
+    assert pairs() == whole and len(whole) > 100 and max(asked) <= 4096
+
+
 @pytest.mark.parametrize("together", [[(1, 1), (2, 2), (3, 3), (4, 4)], [(1, 1), (2, 4)], [(1, 4)]])
 def test_forest_accepts_batch_by_batch(spark, together):
     rng = random.Random(4)
