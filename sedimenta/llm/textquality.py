@@ -18,6 +18,8 @@ import random
 import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,29 +41,50 @@ def lines(df: DataFrame, key: str, body: Column, common: Mapping[str, Sequence[s
     """
     latin = sorted({w for lang, ws in common.items() if lang != "zh" for w in ws if w and len(w) > 1})
     han = sorted({w for w in common.get("zh", []) if w}, key=lambda w: (-len(w), w))
-    count = lambda column, pattern: F.regexp_count(column, F.lit(pattern))
-    kept = lambda column, others: F.length(F.regexp_replace(column, others, ""))
-    rows = df.select(key, body.alias("body")).filter(r"body RLIKE '\\S'").select(key, F.explode(F.split("body", "\n")).alias("raw"))
-    rows = rows.select(key, F.regexp_replace(F.trim(F.regexp_replace("raw", r"[\r\t ]+$", "")), r"^(?:> ?)+", "").alias("line"))
-    rows = rows.filter(r"line != '' AND NOT line RLIKE '^(?:#{1,6} |<!--)'")
-    line = F.col("line")
     single, longer = "".join(w for w in han if len(w) == 1), [w for w in han if len(w) > 1]
-    han_common = F.length(line) - F.length(F.translate(line, single, "")) if single else F.lit(0)
-    for word in longer:  # plain searches are several times faster than one pattern of all words
-        han_common = han_common + (F.length(line) - F.length(F.replace(line, F.lit(word)))) / len(word)
+    less = lambda column, other: F.length(column) - F.length(other)
+    count = lambda column, mark: less(column, F.replace(column, F.lit(mark))) / len(mark)
+    raw, bare, line = F.col("raw"), F.col("bare"), F.col("line")
+    rows = df.select(key, body.alias("body")).filter(r"body RLIKE '\\S'").select(key, F.explode(F.split("body", "\n")).alias("raw"))
+    # What has no row is told from the raw line, in one pattern: a filter on ``line`` would make each line several times.
+    rows = rows.filter(~raw.rlike(r"\A *+(?:> ?)*+(?:[\r\t ]*+\z|<!--|#{1,6} (?![\r\t ]*+[\x85\x{2028}\x{2029}]?\z))"))
+    loose = reduce(or_, (raw.endswith(end) for end in "\r\t \x85\u2028\u2029"))  # else nothing stands before the end
+    rows = rows.select(key, F.trim(F.when(loose, F.regexp_replace(raw, r"[\r\t ]+$", "")).otherwise(raw)).alias("bare"))
+    rows = rows.select(key, F.when(bare.startswith(">"), F.regexp_replace(bare, r"^(?:> ?)+", "")).otherwise(bare).alias("line"))
+    # A line has no line end, which thus can mark matches. Words of any length become ``xx`` in ``short``: what stands
+    # between them is what the other figures need, in a fraction of the characters. Lone letters never touch.
+    rows = rows.select(
+        key,
+        "line",
+        F.regexp_replace(line, r"\p{L}{2,}+", "xx").alias("short"),
+        F.regexp_replace(F.concat(F.lit(" "), F.lower(line)), rf"\P{{L}}(?:{_trie(latin)})(?!\p{{L}})", "\n").alias("without"),
+        F.when(F.octet_length(line) != F.length(line), F.length(F.regexp_replace(line, r"[^\x{4e00}-\x{9fff}]++", ""))).otherwise(0).alias("han"),
+    )
+    short = F.col("short")
+    han_common = less(line, F.translate(line, single, "")) if single else F.lit(0)
+    if longer:  # plain searches are several times faster than one pattern of all words
+        # A function of arrays also keeps this projection out of the stage's one method, which would be too long to be compiled.
+        found = lambda total, word: total + less(line, F.replace(line, word)) / F.length(word)
+        han_common = han_common + F.aggregate(F.array(*map(F.lit, longer)), F.lit(0.0), found)
+    rows = rows.select(
+        "*",
+        F.regexp_replace(F.replace(short, F.lit("xx")), r"\p{L}++", "").alias("other"),
+        F.regexp_replace(short, r"\t|;(?! \p{L})| [|>»/] |\||(?<=\S),(?=\S)| {3,}|\.{4,}", "\n").alias("split"),
+    )
+    other = F.col("other")
     counts = rows.select(
         key,
         "line",
-        F.length(F.replace(F.replace(line, F.lit(" ")), F.lit("\t"))).cast("double").alias("chars"),
-        count(line, r"\p{L}{2,}+").cast("double").alias("words"),
-        count(F.lower(line), rf"(?<!\p{{L}})(?:{_trie(latin)})(?!\p{{L}})").alias("common"),
-        kept(line, r"[^\x{4e00}-\x{9fff}]++").cast("double").alias("han"),
-        han_common.alias("han_common"),
-        kept(line, r"[^\p{L}]++").alias("letters"),
-        (F.length(line) - F.length(F.translate(line, "0123456789", ""))).alias("digits"),
-        line.rlike(r"[.!?…。！？]['\"”»’)\]]*$").cast("double").alias("ended"),
-        line.rlike(r"^(?:[-*+•] |\d{1,3}[.)] |\d{1,2}\.\d{1,2} |\||\[[ x]\]|[0-9a-f]{8} |\d{4}-\d\d-\d\dT)").cast("double").alias("marked"),
-        count(line, r"\t|;(?! \p{L})| [|>»/] |\||(?<=\S),(?=\S)| {3,}|\.{4,}").cast("double").alias("cells"),
+        (F.length(line) - less(other, F.replace(F.replace(other, F.lit(" ")), F.lit("\t")))).cast("double").alias("chars"),
+        count(short, "xx").alias("words"),
+        count(F.col("without"), "\n").cast("int").alias("common"),
+        F.col("han").cast("double").alias("han"),
+        F.when(F.col("han") > 0, han_common).otherwise(0).alias("han_common"),
+        less(line, other).alias("letters"),
+        less(other, F.regexp_replace(other, "[0-9]++", "")).alias("digits"),
+        short.rlike(r"[.!?…。！？]['\"”»’)\]]*$").cast("double").alias("ended"),
+        F.substring(line, 1, 12).rlike(r"^(?:[-*+•] |\d{1,3}[.)] |\d{1,2}\.\d{1,2} |\||\[[ x]\]|[0-9a-f]{8} |\d{4}-\d\d-\d\dT)").cast("double").alias("marked"),
+        count(F.col("split"), "\n").alias("cells"),
     )
     per = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     c = F.col

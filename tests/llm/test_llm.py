@@ -495,6 +495,23 @@ def test_statistics_and_rules(spark):
     assert textquality.statistics(df.limit(0), "file_id", F.col("body"), {}).count() == 0
 
 
+def test_line_figures(spark):
+    """Each line is made once, its figures come from what stands between words; a letter of any plane is a letter beside a word."""
+    odd = ["\U0001d49cof the of", "> > a;b; c,d | e...\t12 .\r", "# a heading", "> ## another", "#", "> \t", " <!-- x", "x \u2028", "可以 the 可", "The OF 'the' xx x"]
+    figures = textquality.lines(spark.createDataFrame([(1, "\n".join(odd))], "file_id int, body string"), "file_id", F.col("body"), COMMON)
+    got = [(r.line, r.chars, r.words, r.common, r.han, r.letters, r.digits, r.ended, r.cells) for r in figures.collect()]
+    assert got == [
+        ("\U0001d49cof the of", 8, 3, 2, 0, 8, 0, 0, 0),
+        ("a;b; c,d | e...\t12 .", 15, 0, 0, 0, 5, 2, 1, 4),
+        ("#", 1, 0, 0, 0, 0, 0, 0, 0),
+        ("x\u2028", 2, 0, 0, 0, 1, 0, 0, 0),
+        ("可以 the 可", 6, 2, 1, 3, 6, 0, 0, 0),
+        ("The OF 'the' xx x", 13, 4, 3, 0, 11, 0, 0, 0),
+    ]
+    plan = figures._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[\r\t ]+$") == 1 and "regexp_extract_all" not in plan
+
+
 def test_induced_rules_hold_on_unseen_rows():
     rng = random.Random(0)
 
