@@ -41,6 +41,7 @@ LOOKALIKES = (
     "理埋 現现 表袤 袖抽 栏拦 档挡 模摸 根报 标杯 段投 组绀 细绸 给绐 结绪 续绩 编偏 缩绾 综棕 词诃 译泽 读续 证讧 项顶 须顺 预顸 题匙 颗颖 饮钦 验脸 版板 换挟 据掘 描猫 推椎 核该 格恪 级极 约的 线钱 统绕 时吋 明朋 是昰 晚挽"
 ).split()
 _DIGITS = r"[0-9lIoOSB]{1,4}"
+_DIGIT = frozenset("0123456789lIoOSB")
 #: A line that is a page number.
 PAGE = re.compile(
     rf"(?:[-–—~·] ?{_DIGITS} ?[-–—~·]|\[ ?{_DIGITS} ?\]|\( ?{_DIGITS} ?\)|(?=[lIoOSB]*[0-9]){_DIGITS}|{_DIGITS} ?/ ?{_DIGITS}|[ivxl]{{1,7}}|[IVX]{{1,7}}"
@@ -49,11 +50,12 @@ PAGE = re.compile(
 HYPHEN = re.compile(r"([^\W\d_]{2,}|[^\W_]{2,})[-‐‑¬\xad]\s*$")
 _BESIDE = re.compile(rf"\A{_DIGITS}\s{{2,}}|\s{{2,}}{_DIGITS}\Z")
 _HYPHENS = tuple("-‐‑¬\xad")
-_WORD = re.compile(r"(?:(?![一-鿿])[^\W_])+(?:[’'](?:(?![一-鿿])[^\W_])+)*")
-_TOKEN = re.compile(r"(?:(?![一-鿿])[^\W_])+").finditer
-_LETTERS = re.compile(r"(?:(?![一-鿿])[^\W\d_])+")
-_PLAIN = re.compile(r"(?:(?![一-鿿])[^\W_])*(?:(?![一-鿿])[^\W\d_]|[ﬁﬂ])(?:(?![一-鿿])[^\W_])*").findall
-_COMPOUND = re.compile(r"(?:(?![一-鿿])[^\W\d_]){2,}(?:-(?:(?![一-鿿])[^\W\d_]){2,})+")
+# Chinese characters are left out within the class: a look ahead before each character took several times as long.
+_WORD = re.compile(r"[^\W_一-鿿]+(?:[’'][^\W_一-鿿]+)*")
+_TOKEN = re.compile(r"[^\W_一-鿿]+").finditer
+_LETTERS = re.compile(r"[^\W\d_一-鿿]+")
+_PLAIN = re.compile(r"[^\W_一-鿿]*[^\W\d_一-鿿][^\W_一-鿿]*").findall
+_COMPOUND = re.compile(r"[^\W\d_一-鿿]{2,}(?:-[^\W\d_一-鿿]{2,})+")
 _HAN = re.compile(r"[一-鿿]+")
 _HAN_RUN = re.compile(r"[一-鿿]+(?:\n[一-鿿]+)*")
 #: One blank between two Chinese characters, as only scanners leave it; lines of cells have more or wider gaps.
@@ -67,7 +69,7 @@ _PIECES = re.compile(r"\s*[·|–—]\s*|\s{2,}")
 _MARKDOWN = re.compile(r"^(?:(#{1,6} |```|<!--)|(?:\|(?=[ :]|.*\|[ \t]*\r?$)|> |[*+] |- (?!\d)).*)", re.M).finditer
 #: Lines that a heading, fence or comment counts as.
 PLAINLY = 8
-_BROKEN = re.compile(r"[^\W\d_]{2}[-‐‑¬\xad][ \t]*\r?$", re.M).search
+_BROKEN = re.compile(r"[-‐‑¬\xad](?<=[^\W\d_]{2}.)[ \t]*\r?$", re.M).search
 #: Entries of the model have at least this share of their kind's counts, so there are at most 2,000,000 of each kind.
 SHARE = 5e-7
 MEMORY = 300_000
@@ -284,7 +286,7 @@ class Decoder:
                 pages[i] = (form, _value(text))
                 misread |= {i} if form == "#" and not text.isdigit() and re.search(r"[0-9]", text) else set()
                 continue
-            rest = _BESIDE.sub("", text)
+            rest = _BESIDE.sub("", text) if text[0] in _DIGIT or text[-1] in _DIGIT else text
             bare.append(rest if (len(rest) >= 4 or "一" <= rest[:1] <= "鿿" and len(rest) > 1) and rest[-1] not in ".;,。；，:：" else "")
             if rest != text and bare[i]:
                 pages[i] = ("beside", _value(text.replace(rest, "")))
@@ -520,8 +522,8 @@ class Decoder:
                 whole, j = whole + after, j + 1
                 parts.append(after)
                 least = min(least, self.known(after))
-                apart = sum(min(self._cost(part), self._cost(part.lower())) for part in parts)
                 if kind == "hyphen" and j == i + 1:
+                    apart = sum(min(self._cost(part), self._cost(part.lower())) for part in parts)
                     for cost, word in self._readings(whole, names):
                         offer(j + 1, base + min(cost, apart - 0.1), i, (start, nodes[j][1], "hyphen", word))
                 elif self.known(whole) > 20 * max(1, least) and (min(map(len, parts)) > 1 or j > i + 1):
@@ -599,18 +601,27 @@ class Decoder:
                     options.setdefault(at, [(char, 0.0)]).append((found, STRANGE))
         changes = []
         get, log = self.beside.get, math.log
+
+        def cheapest(states: dict[str, tuple[float, tuple]], follows: str) -> tuple[float, tuple]:
+            least, way = math.inf, ()
+            for before, (cost, path) in states.items():
+                cost -= log(get(before + follows, 0) + 0.5)
+                if cost < least:
+                    least, way = cost, path
+            return least, way
+
         begun: dict[str, tuple[float, tuple]] | None = None
         for at in sorted(options):
             if begun is None or at - 1 not in options:
                 begun = {run[at - 1] if at else head: (0.0, ())}
             step: dict[str, tuple[float, tuple]] = {}
             for other, fee in options[at]:
-                cost, path = min(((cost - log(get(before + other, 0) + 0.5), path) for before, (cost, path) in begun.items()), key=lambda x: x[0])
+                cost, path = cheapest(begun, other)
                 step[other] = (cost + fee, (path, at, other) if fee else path)
             begun = step
             if at + 1 not in options:
                 after = run[at + 1] if at < last else tail
-                path = min(((cost - log(get(before + after, 0) + 0.5), path) for before, (cost, path) in begun.items()), key=lambda x: x[0])[1]
+                path = cheapest(begun, after)[1]
                 found = []
                 while path:
                     path, k, other = path
@@ -632,13 +643,13 @@ class Decoder:
         if marked > stray + len(rows):
             return None  # more than its seams can be
         lines = [Line(first + i, row) for i, row in enumerate(rows)]
-        broken = 0
-        for line, after in zip(lines, lines[1:]) if _BROKEN(body) else ():
+        broken, hyphens = 0, _BROKEN(body)
+        for line, after in zip(lines, lines[1:]) if hyphens else ():
             cut_ = _broken(line.text)
             start = _LETTERS.match(after.text.strip()) if cut_ else None
             broken += bool(start and self.known(cut_.group(1) + start.group()))
         seams = self.furniture(lines, title, broken + stray)
-        if marked > seams + broken + stray or not (seams or broken or stray or _BROKEN(body)):
+        if marked > seams + broken + stray or not (seams or broken or stray or hyphens):
             return None
         text = [line for line in lines if not line.furniture and line.text.strip()]
         names = Counter(w for line in text for w in _WORD.findall(line.text) if w[0].isupper())

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, public tokenizers and round trips."""
 
 import random
+import re
 from collections import Counter
 from datetime import datetime
 from math import comb
@@ -482,6 +483,18 @@ def test_noise_rows(spark, model):
 
 # Text quality --------------------------------------------------------------------------------------------------------
 
+def test_words_without_chinese_characters():
+    """The classes leave Chinese characters out by themselves and find what the look ahead before each character found."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abÉß1٣_-’' \n中文鿿一ﬁΣ²ⅷ") for _ in range(20000))
+    letter, sign = r"(?:(?![一-鿿])[^\W\d_])", r"(?:(?![一-鿿])[^\W_])"
+    slow = {"_WORD": rf"{sign}+(?:[’']{sign}+)*", "_TOKEN": rf"{sign}+", "_LETTERS": rf"{letter}+", "_PLAIN": rf"{sign}*(?:{letter}|[ﬁﬂ]){sign}*", "_COMPOUND": rf"{letter}{{2,}}(?:-{letter}{{2,}})+"}
+    for name, pattern in slow.items():
+        found = getattr(scanned, name)
+        found = getattr(found, "__self__", found)
+        assert found.findall(text) == re.findall(pattern, text) and "(?!" not in found.pattern
+
+
 COMMON = {"en": ["the", "of", "and", "is", "to", "in", "a"], "zh": ["的", "在", "没有"]}
 
 
