@@ -20,6 +20,8 @@ from sedimenta.session import cut, release, shared_dir
 
 #: Runs that an index holds before they are merged into one.
 RUNS = 8
+#: Turns that the trees take, so that a part of the entries of batch and history lies on disk at a time; results are equal.
+PASSES = 3
 #: Rows that are taken together, as a multiple of the rows before them.
 GROWTH = 2
 
@@ -48,23 +50,29 @@ class Forest:
             self.runs = [self._write(self.spark.read.parquet(*self.runs), "run")]
             self.seen = [self._write(self.spark.read.parquet(*self.seen), "seen")]
 
-    def accept(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
-        """The ids of the batch's records that repeat a record accepted before; the others enter the index.
-
-        ``batch`` has ``id, arrival, text``; records come in order of ``arrival``, then ``id``. ``texts`` has ``id, text``
-        of the batch and of all history. A record without a shingle is similar to none and leaves no entry.
-        """
+    def _fresh(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The signed records of the batch whose shingle set no record before has, and the ids of the others."""
         signed = cut(neardup.sign(batch.withColumn("g", F.lit(0)), ["g", "id", "arrival"], F.col("text"), self.width))
         repeats = neardup.repeated(signed, "g", ["arrival", "id"]).select("id")
         if self.runs:
             seen = self.spark.read.parquet(*self.seen)
             repeats = repeats.unionByName(signed.select("id", "same").join(seen, "same", "left_semi").select("id")).distinct()
         repeats = cut(repeats)
-        fresh = signed.join(repeats, "id", "left_anti").withColumn("fresh", F.lit(True))
-        known = fresh
+        return cut(signed.join(repeats, "id", "left_anti")), repeats
+
+    def accept(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
+        """The ids of the batch's records that repeat a record accepted before; the others enter the index.
+
+        ``batch`` has ``id, arrival, text``; records come in order of ``arrival``, then ``id``. ``texts`` has ``id, text``
+        of the batch and of all history. A record without a shingle is similar to none and leaves no entry.
+        """
+        release(self.spark)  # what the batch before left behind
+        fresh, repeats = self._fresh(batch)
+        release(self.spark)
+        known = fresh.withColumn("fresh", F.lit(True))
         if self.runs:
-            known = fresh.unionByName(self.spark.read.parquet(*self.runs).withColumn("fresh", F.lit(False)))
-        pairs = cut(neardup.candidates(known, "g", "id", self.threshold, "fresh"))
+            known = known.unionByName(self.spark.read.parquet(*self.runs).withColumn("fresh", F.lit(False)))
+        pairs = cut(neardup.candidates(known, "g", "id", self.threshold, "fresh", PASSES))
         release(self.spark)
         links = neardup.verify(pairs, texts.withColumn("g", F.lit(0)), "g", self.width, self.threshold)
         places = known.select("id", "arrival", "fresh")
@@ -73,8 +81,9 @@ class Forest:
         before = F.when(F.col("fresh_a") == F.col("fresh_b"), before).otherwise(~F.col("fresh_a"))
         side = lambda a, b: F.when(before, F.col(a)).otherwise(F.col(b))
         edges = cut(links.select(side("id_a", "id_b").alias("earlier"), side("id_b", "id_a").alias("later"), (side("fresh_a", "fresh_b") == F.lit(False)).alias("settled")))
+        release(self.spark)
         refused = cut(_refused(edges))
-        accepted = fresh.drop("fresh").join(refused, "id", "left_anti")
+        accepted = fresh.join(refused, "id", "left_anti")
         self.runs.append(self._write(accepted, "run"))
         self.seen.append(self._write(fresh.select("same"), "seen"))
         self._merge()

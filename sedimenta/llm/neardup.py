@@ -9,7 +9,7 @@
    a sample shows to be hot are split into pairs of blocks beforehand.
 4. ``verify``: exact Jaccard similarity of the candidates' shingles.
 
-Shuffled data per record is constant (18 trees); nothing is capped. Pairs of different texts are dropped by the
+Shuffled data per record is constant (18 trees, together or in turns); nothing is capped. Pairs of different texts are dropped by the
 forest, whose recall is 0.9944 for a pair right at similarity 0.5, and by the sketch filter (fewest agreeing lanes,
 also in signature trees), which keeps 0.9999 of such pairs: together 0.994 if they were independent, and more above.
 There is no exact way for the rest.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -96,26 +97,35 @@ def repeated(signed: DataFrame, group: str, order: list[str]) -> DataFrame:
     return signed.select(group, "same", "id").join(named, [group, "same"]).filter("id != rep_id").select(group, "id", "rep_id")
 
 
-def _entries(signed: DataFrame, group: str, key: str, depth: int, extra: list[str]) -> DataFrame:
-    """One row for each record and tree, with ``run``: the hash of group, tree and label prefix; hot runs are split."""
+def _run(group: str, depth: int) -> Column:
+    """The hash of group, ``tree`` and the prefix of ``label``."""
     prefix = F.shiftrightunsigned("label", 64 - 16 * depth)
-    family = F.xxhash64(group).alias("family")
-    if depth < 4:  # few random bits, for the shuffle's sake; the family's low bits are on top
-        run = F.shiftleft(family, 16 * depth + 5).bitwiseOR(F.shiftleft(F.col("tree").cast("long"), 16 * depth)).bitwiseOR(prefix)
-    else:
-        run = F.xxhash64(group, "tree", prefix)
-    rows = signed.select(group, family, key, "n", *WORDS, *extra, F.posexplode("labels").alias("tree", "label"))
-    rows = rows.withColumn("run", run).drop("tree", "label")
+    if depth < 4:  # few random bits, for the shuffle's sake; the group's low bits are on top
+        return F.shiftleft(F.xxhash64(group), 16 * depth + 5).bitwiseOR(F.shiftleft(F.col("tree").cast("long"), 16 * depth)).bitwiseOR(prefix)
+    return F.xxhash64(group, "tree", prefix)
+
+
+def _hot(signed: DataFrame, group: str, key: str, depth: int) -> DataFrame | None:
+    """``run, blocks`` of the runs of all trees that a sample shows to be hot; None if there is none."""
     sample = signed.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(ONE_IN)) == 0)
-    seen = sample.select(group, F.posexplode("labels").alias("tree", "label")).select(run.alias("run"))
+    seen = sample.select(group, F.posexplode("labels").alias("tree", "label")).select(_run(group, depth).alias("run"))
     counts = seen.groupBy("run").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT_RUN / ONE_IN)
     blocks = cut(counts.select("run", (F.floor(F.col("c") * ONE_IN / BLOCK) + 2).cast("int").alias("blocks")))
     many = blocks.count()
     if not many:
+        return None
+    return F.broadcast(blocks) if many <= BROADCAST_IDS else blocks
+
+
+def _entries(signed: DataFrame, group: str, key: str, depth: int, extra: list[str], hot: DataFrame | None, trees: range) -> DataFrame:
+    """One row for each record and tree among ``trees``, with ``run``: the hash of group, tree and label prefix; hot runs are split."""
+    labels = F.slice("labels", trees.start + 1, len(trees)) if len(trees) < S.TREES else F.col("labels")
+    rows = signed.select(group, F.xxhash64(group).alias("family"), key, "n", *WORDS, *extra, F.posexplode(labels).alias("tree", "label"))
+    rows = rows.withColumn("tree", F.col("tree") + trees.start).withColumn("run", _run(group, depth)).drop("tree", "label")
+    if hot is None:
         return rows.withColumn("block", F.lit(0))
-    blocks = F.broadcast(blocks) if many <= BROADCAST_IDS else blocks
     own = F.pmod(F.xxhash64(key, F.lit(13)), F.col("blocks")).cast("int")
-    joined = rows.join(blocks, "run", "left").withColumn("block", F.coalesce(own, F.lit(0)))
+    joined = rows.join(hot, "run", "left").withColumn("block", F.coalesce(own, F.lit(0)))
     split = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("run", F.least("block", j), F.greatest("block", j)))
     return joined.withColumn("run", F.explode(F.coalesce(split, F.array("run")))).drop("blocks")
 
@@ -145,14 +155,15 @@ def _compare(run: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold
     return np.concatenate(first), np.concatenate(second)
 
 
-def candidates(signed: DataFrame, group: str, key: str, threshold: float, fresh: str | None = None) -> DataFrame:
+def candidates(signed: DataFrame, group: str, key: str, threshold: float, fresh: str | None = None, passes: int = 1) -> DataFrame:
     """Distinct ``group, id_a, id_b`` (``id_a < id_b``) that a tree of the forest brings together and sketches allow.
 
-    With ``fresh``, a boolean column, only pairs with a fresh record are compared.
+    With ``fresh``, a boolean column, only pairs with a fresh record are compared. In several ``passes`` the trees take turns,
+    so that the entries of a part of them lie on disk at a time; ``signed`` is read in each and should be materialised.
     """
     depth, least = depth_for(threshold), S.least_agreeing(threshold)
     extra = [fresh] if fresh else []
-    entries = _entries(signed, group, key, depth, extra)
+    hot = _hot(signed, group, key, depth)
     kind = signed.select(group).schema[0].dataType.simpleString()
     columns = ["run", group, "family", key, "n", *WORDS, "block", *extra]
 
@@ -199,9 +210,19 @@ def candidates(signed: DataFrame, group: str, key: str, threshold: float, fresh:
             yield from found(pa.Table.from_batches(kept))
 
     parts = parallelism(signed.sparkSession)
-    ordered = entries.select(*columns).repartition(parts, "run").sortWithinPartitions("run")
-    pairs = ordered.mapInArrow(search, f"`{group}` {kind}, id_a long, id_b long")
-    return pairs.dropDuplicates([group, "id_a", "id_b"])
+
+    def met(trees: range) -> DataFrame:
+        entries = _entries(signed, group, key, depth, extra, hot, trees)
+        ordered = entries.select(*columns).repartition(parts, "run").sortWithinPartitions("run")
+        return ordered.mapInArrow(search, f"`{group}` {kind}, id_a long, id_b long").dropDuplicates([group, "id_a", "id_b"])
+
+    if passes == 1:
+        return met(range(S.TREES))
+    step, found = -(-S.TREES // passes), []
+    for at in range(0, S.TREES, step):
+        found.append(cut(met(range(at, min(at + step, S.TREES)))))
+        release(signed.sparkSession)
+    return reduce(DataFrame.unionByName, found).dropDuplicates([group, "id_a", "id_b"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, group: str, width: int, threshold: float) -> DataFrame:

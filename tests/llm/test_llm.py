@@ -269,6 +269,37 @@ def test_forest_accepts_batch_by_batch(spark, together):
     assert got == refused(rows)
 
 
+def shuffled(spark):
+    """Rows that each stage so far has written to its shuffle, by stage."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    java = spark.sparkContext._jvm.java.util.ArrayList
+    stages = context.statusStore().stageList(java(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), java())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+
+def test_the_trees_of_the_forest_take_turns_on_disk(spark):
+    rows = [(k // 300 + 1, k, t) for k, t in enumerate(texts(6, 100, 6))]
+    df = spark.createDataFrame(rows, "arrival int, id long, text string")
+    before, index, got = shuffled(spark), forest.Forest(spark, 3, 0.5), set()
+    for batch in (1, 2):
+        got |= {r.id for r in index.accept(df.filter(F.col("arrival") == batch), df.select("id", "text")).collect()}
+    most = max(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert got == refused(rows) and 0 < most <= len(rows) * shingles.TREES / 3
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_passes_leave_candidates_equal(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(neardup, "HOT_RUN", 4)
+        monkeypatch.setattr(neardup, "BLOCK", 3)
+        monkeypatch.setattr(neardup, "ONE_IN", 1)
+    signed = neardup.cut(neardup.sign(frame(spark, list(enumerate(texts(7, 10, 8)))), ["src", "id"], F.col("text"), 3))
+    signed = signed.withColumn("fresh", F.col("id") % 3 == 0)
+    once, *several = (sorted(map(tuple, neardup.candidates(signed, "src", "id", 0.5, "fresh", n).collect())) for n in (1, 4, 18))
+    assert len(once) > 50 and several == [once, once]
+
+
 def test_rounds_cover_all_batches():
     made = forest.rounds([(1, 100), *((k, 10) for k in range(2, 32))])
     assert made == [(1, 1), (2, 21), (22, 31)] and forest.rounds([]) == []
